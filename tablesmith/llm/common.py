@@ -72,8 +72,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 7) -> DataFrame:
-    """(text, y, u) of at most ``per_class`` labelled documents of either class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int], seed: int = 7) -> DataFrame:
+    """(text, y, u) of at most ``per_class`` labelled documents of either class (or a bound for 0 and one for 1).
 
     The ids are drawn from the labels alone, by the smallest seeded hash, and
     only those (their number is bounded) are broadcast to the scan of the texts.
@@ -81,9 +81,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     pool = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y"))
     rank = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    drawn = None
+    drawn, bounds = None, per_class if isinstance(per_class, tuple) else (per_class, per_class)
     for y in (0, 1):
-        part = pool.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(rank, "doc_id").limit(per_class)
+        part = pool.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(rank, "doc_id").limit(bounds[y])
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = drawn.withColumn("u", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(100)))
     ids = docs.sparkSession.createDataFrame(drawn.toPandas(), "doc_id bigint, y int, u bigint")

@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import labelled_sample
 from .quality import logistic
 
-#: Labelled documents of either class in the training sample, at most.
-TRAIN_PER_CLASS = 2500
-#: Labelled toxic documents that a learned word or stem must be in, and how much commoner it must be there.
-MIN_DOCS, MIN_LOG_ODDS = 3, 2.5
+#: Labelled clean and toxic documents in the training sample, at most.
+TRAIN_PER_CLASS = (5000, 3000)
+#: How much commoner a learned word or stem must be in toxic texts, and the chance that any one of them is learned by accident.
+MIN_LOG_ODDS, ERROR_RATE = 2.5, 0.02
 STEMS = (4, 5, 6, 7)
 MAX_TERMS = 4000
 
@@ -125,34 +125,58 @@ class Reader:
         return total
 
 
+def without_copies(texts: list[str], slots: int = 8, same: int = 3) -> list[str]:
+    """The texts less those that share ``same`` of their least shingle hashes with an earlier one: a copied text is evidence once."""
+    import xxhash
+
+    seen, out = set(), []
+    for t in texts:
+        words = WORD.findall(t.lower())
+        grams = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+        hashes = np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)
+        own = [(k, int((hashes * np.uint64(2 * k + 1) ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min())) for k in range(slots)]
+        if sum(x in seen for x in own) < same:
+            out.append(t)
+        seen.update(own)
+    return out
+
+
 def induce(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that mark toxic texts, with weights: smoothed log odds of document shares, shrunk to (0, 3]."""
-    sides = []
-    for texts in (toxic, clean):
-        words, stems = Counter(), Counter()
-        for t in texts:
-            own = set(WORD.findall(t.lower()))
-            words.update(own)
-            stems.update({w[:n] for w in own for n in STEMS if len(w) > n})
-        sides.append((words, stems))
+    """Words and stems that mark toxic texts, with weights: smoothed log odds of document shares, shrunk to (0, 3].
+
+    A term counts only if its share of toxic texts is beyond what chance gives
+    any of the terms tried (a bound on the binomial tail against ERROR_RATE).
+    """
+    own = [[set(WORD.findall(t.lower())) for t in texts] for texts in (toxic, clean)]
     n1, n0 = len(toxic) + 1, len(clean) + 1
+    share = n1 / (n1 + n0)
+
+    def tail(a: int, b: int) -> float:
+        """Chernoff's bound on the log chance of a or more of a + b texts being toxic."""
+        q = a / (a + b)
+        return -(a + b) * (q * math.log(q / share) + (1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else math.log(1 / share)) if q > share else 0.0
 
-    def marks(k: int) -> dict[str, float]:
-        out = {}
-        for w, a in sides[0][k].items():
-            b = sides[1][k][w]
+    def marks(sides: list[Counter]) -> dict[str, float]:
+        out, most = {}, math.log(ERROR_RATE / max(1, len(sides[0])))
+        for w, a in sides[0].items():
+            b = sides[1][w]
             odds = math.log((a + 0.25) / n1) - math.log((b + 0.25) / n0)
-            if a >= MIN_DOCS and odds >= MIN_LOG_ODDS and a >= 12 * b:
+            if odds >= MIN_LOG_ODDS and tail(a, b) <= most:
                 out[w] = min(3.0, 0.6 * odds)
-        return dict(sorted(out.items(), key=lambda x: (-x[1], -sides[0][k][x[0]], x[0]))[:MAX_TERMS])
+        return dict(sorted(out.items(), key=lambda x: (-x[1], -sides[0][x[0]], x[0]))[:MAX_TERMS])
 
-    return marks(0), marks(1)
+    words = marks([Counter(w for t in side for w in t) for side in own])
+    stems = marks([Counter(s for t in side for s in {w[:n] for w in t for n in STEMS if len(w) > n}) for side in own])
+    # A stem has to stand on several words, and they must be words of toxic texts.
+    kinds = [Counter(w[:n] for w in set().union(*side) for n in STEMS if len(w) > n) for side in own]
+    stems = {s: x for s, x in stems.items() if kinds[0][s] >= 3 and kinds[0][s] >= 10 * kinds[1][s]}
+    return words, stems
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = TRAIN_PER_CLASS) -> Model:
     """labels: doc_id, toxic, of rows that may be learned from. Terms come from two thirds of the sample, the curve from the rest."""
     rows = sorted((r["y"], r["u"], r["text"]) for r in labelled_sample(docs, labels, "toxic", per_class).collect())
-    words, stems = induce([t for y, u, t in rows if y == 1 and u < 66], [t for y, u, t in rows if y == 0 and u < 66])
+    words, stems = induce(*(without_copies([t for c, u, t in rows if c == y and u < 66]) for y in (1, 0)))
     words = {w: 1.5 for w in INSULTS} | words
     reader = Reader(words, stems)
     rest = [(reader.evidence(t), y) for y, u, t in rows if u >= 66]
