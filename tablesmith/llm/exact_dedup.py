@@ -111,6 +111,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = units.join(names, both).select(units["doc_id"], "level", "name", "text_sha256", "n_rows")
     named = scratch.write(named, "named")
     groups = named.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
+    # Written, so that the join deals out both sides anew and AQE may split a large group's.
+    groups = scratch.write(groups, "groups")
     rows = named.join(groups, ["level", "name"]).select("*", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("copy"))
     return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
