@@ -18,7 +18,9 @@ WINDOW = 13
 BROADCAST_BYTES = 32 << 20
 #: Words of a text that one row of the scan covers.
 SEGMENT = 1024
+#: The words, of lower-cased text and (as many) of text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -68,7 +70,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     rows = rows.withColumn("rid", F.xxhash64(F.coalesce("text", F.lit(""))))
     windows = scratch.write(benchmark_windows(bench, width=width), "windows")
     shape = windows.agg(F.collect_set("n").alias("lengths"), F.sum(F.octet_length("w") + 32 + 16 * F.size("items")).alias("bytes")).first()
-    counted = rows.select("doc_id", "rid", F.regexp_count(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD)).cast("bigint").alias("n_words"))
+    counted = rows.select("doc_id", "rid", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD)).cast("bigint").alias("n_words"))
     if not shape["lengths"]:
         return counted.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
     found = scratch.write(hits(rows, windows, sorted(shape["lengths"]), shape["bytes"] <= BROADCAST_BYTES), "hits")
