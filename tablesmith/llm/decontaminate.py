@@ -94,12 +94,12 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
 def strip_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): the words that no window covers, lower-cased and joined by spaces; a text without hits is left as it is."""
     scratch = Scratch(docs.sparkSession, "strip")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64(F.coalesce("text", F.lit(""))))
     windows = scratch.write(benchmark_windows(bench), "windows")
     shape = windows.agg(F.collect_set("n").alias("lengths"), F.sum(F.octet_length("w")).alias("bytes")).first()
     if not shape["lengths"]:
         return rows.select("doc_id", "text")
-    found = hits(rows, windows, sorted(shape["lengths"]), (shape["bytes"] or 0) <= BROADCAST_BYTES)
+    found = scratch.write(hits(rows, windows, sorted(shape["lengths"]), (shape["bytes"] or 0) <= BROADCAST_BYTES), "hits")
     cover = found.select("doc_id", "rid", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("word")).distinct().groupBy("doc_id", "rid").agg(F.collect_set("word").alias("hit"))
     both = rows.join(cover, rows["doc_id"].eqNullSafe(cover["doc_id"]) & (rows["rid"] == cover["rid"]), "left")
     at = F.map_from_arrays("hit", F.transform("hit", lambda _: F.lit(True)))
