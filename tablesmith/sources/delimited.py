@@ -43,6 +43,14 @@ def delimiter(text: str) -> str:
     return best
 
 
+def looks_delimited(text: str, least: float = 0.7) -> bool:
+    """Whether at least ``least`` of the first lines split into one same number of fields above one."""
+    lines = [x for x in text[:SAMPLE_CHARS].splitlines() if x.strip()][:400]
+    widths = Counter(len(r) for r in csv.reader(lines, delimiter=delimiter(text)))
+    width, n = max(widths.items(), key=lambda x: (x[1], x[0]), default=(0, 0))
+    return width > 1 and len(lines) > 1 and n >= least * len(lines)
+
+
 @dataclass
 class Block:
     """A run of lines between blank ones; ``no`` is its place among all runs of the file."""
@@ -92,9 +100,13 @@ RAW = "path string, block int, row_no bigint, header array<string>, cells array<
 
 
 def raw_rows(spark: SparkSession, path: str, recursive: bool = True, max_bytes: int = 256 << 20) -> DataFrame:
-    """One row for each data row of each table of each file below ``path``; larger files are refused, not cut."""
+    """One row for each data row of each table of each file below ``path``; dot files are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    files = files.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
+    return parsed(files.where(~F.element_at(F.split("path", "/"), -1).startswith(".")), max_bytes)
+
+
+def parsed(files: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
+    """One row for each data row of each table of each file (path, content); larger files are refused, not cut."""
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd

@@ -78,3 +78,12 @@ def expand_archives(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "content"])
 
     return files.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
+def as_zip(files: dict[str, bytes]) -> bytes:
+    """A zip archive of the given files, always with the same bytes."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for n in sorted(files):
+            z.writestr(zipfile.ZipInfo(n), files[n])
+    return out.getvalue()
