@@ -44,11 +44,12 @@ def dedup_by_hash(spark, sf):
     return t(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))")
 def incremental_skip(spark, sf):
+    """Documents whose text is not among the labelled ones."""
     docs = t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    seen = docs.where("doc_id % 2 = 0").select("h")
-    return docs.where("doc_id % 2 = 1").join(seen, "h", "left_anti").select("doc_id")
+    seen = docs.join(t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("h")
+    return docs.join(seen, "h", "left_anti").select("doc_id")
 
 
 @query(r"""
@@ -221,9 +222,9 @@ def canonical_union(spark, sf):
     return a.unionByName(o.where("o_orderstatus <> 'O'").select("o_orderkey", F.lit("rest").alias("src"), "o_orderpriority"), allowMissingColumns=True)
 
 
-@query("SELECT c_mktsegment AS schema_id, count(*) AS n, string_agg(c_name, ',' ORDER BY c_name) AS tables FROM customer WHERE c_custkey <= 100 GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS schema_id, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS tables FROM nation GROUP BY 1 HAVING count(*) > 1")
 def schema_families(spark, sf):
-    return M.families(t(spark, sf, "customer").where("c_custkey <= 100").select(F.col("c_mktsegment").alias("schema_id"), F.col("c_name").alias("name")))
+    return M.families(t(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("schema_id"), F.col("n_name").alias("name")))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
@@ -264,12 +265,12 @@ def ledger_chain(spark, sf):
     return e.select("event_id", F.sha2(F.concat(prev, F.lit(">"), F.col("line")), 256).alias("entry_hash"))
 
 
-@query("""WITH o AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 4 <> 0)
-SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.c_custkey = n.c_custkey WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_acctbal <> n.c_acctbal""")
+@query("""SELECT coalesce(s_suppkey, c_custkey) AS k, CASE WHEN s_suppkey IS NULL THEN 'added' WHEN c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM supplier FULL JOIN customer ON s_suppkey = c_custkey WHERE s_suppkey IS NULL OR c_custkey IS NULL OR s_nationkey <> c_nationkey""")
 def snapshot_diff(spark, sf):
-    c = t(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    new = c.where("c_custkey % 4 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
-    return M.snapshot_diff(c.where("c_custkey % 3 <> 0"), new, "c_custkey", ["c_acctbal"])
+    """Suppliers as the old state of the customers with their keys."""
+    old, new = t(spark, sf, "supplier").selectExpr("s_suppkey AS k", "s_nationkey AS v"), t(spark, sf, "customer").selectExpr("c_custkey AS k", "c_nationkey AS v")
+    return M.snapshot_diff(old, new, "k", ["v"])
 
 
 @query()
@@ -292,7 +293,7 @@ def sql_query(name: str, text: str, duck: str | None = None) -> None:
     _QUERIES[name], _SQL[name] = run, duck or text
 
 
-sql_query("set_ops", "SELECT c_custkey AS k, 'u' AS op FROM customer WHERE c_custkey < 50 UNION SELECT o_custkey, 'u' FROM orders WHERE o_custkey < 60 UNION ALL (SELECT c_custkey, 'i' FROM customer INTERSECT SELECT o_custkey, 'i' FROM orders) UNION ALL (SELECT c_custkey, 'e' FROM customer EXCEPT SELECT o_custkey, 'e' FROM orders)")
+sql_query("set_ops", "SELECT c_custkey AS k, 'u' AS op FROM customer WHERE c_acctbal < 0 UNION SELECT o_custkey, 'u' FROM orders WHERE o_orderstatus = 'F' UNION ALL (SELECT c_custkey, 'i' FROM customer INTERSECT SELECT o_custkey, 'i' FROM orders) UNION ALL (SELECT c_custkey, 'e' FROM customer EXCEPT SELECT o_custkey, 'e' FROM orders)")
 sql_query("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, CAST(grouping(l_returnflag) AS INT) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 sql_query("rollup_agg", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql_query("cube_agg", "SELECT l_returnflag, l_linestatus, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -346,8 +347,12 @@ def suggested_join(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import catalogue_files
+
+    return _QUERIES | catalogue_files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import catalogue_files
+
+    return _SQL | catalogue_files.SQL
