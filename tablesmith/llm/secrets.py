@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: Characters that a candidate has at least.
 MIN_CHARS = 16
+#: Characters before a candidate in its own word that count as its neighbours.
+LEFT_CHARS = 32
 TREES, DEPTH = 12, 5
-SHAPE = r"[A-Za-z0-9+/_=\-]{16,}"
+SHAPE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 
 # Words beside a secret, words beside other long strings, signs of test paths, common words.
 NEAR_SECRETS = "token secret password passwd pwd key apikey api auth bearer credential private access".split()
@@ -36,7 +38,7 @@ def features(df: DataFrame) -> DataFrame:
     core, n = F.col("core"), F.length("core").cast("double")
     shape = F.translate(core, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "0" * 10)
     share = lambda pattern: (n - F.length(F.regexp_replace(core, pattern, ""))) / n
-    left = F.concat_ws(" ", "before", F.expr("substring_index(word, core, 1)"))
+    left = F.concat_ws(" ", "before", F.expr(f"right(substring_index(word, core, 1), {LEFT_CHARS})"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     by_name = {
         "f_length": F.least(n, F.lit(200.0)),
@@ -131,11 +133,12 @@ def forest(spark: SparkSession, findings: DataFrame | None = None, seed: int = 2
 
 
 def scan(docs: DataFrame, score: Column, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
-    """One row for each candidate: doc_id, word_no, n_chars, secret_sha256, score, is_secret.
+    """One row for each candidate: doc_id, word_no, run_no, n_chars, secret_sha256, score, is_secret.
 
-    A candidate is the first run of MIN_CHARS or more characters of SHAPE in a
-    blank-separated word with a digit in it; word_no counts from 0. Null and
-    empty texts have none. A null path counts as no test path. Repeated rows
+    Every run of MIN_CHARS or more characters of SHAPE with a digit in it is a
+    candidate, several in a blank-separated word included (as in JSON without
+    blanks); word_no counts words from 0, run_no the candidates of a word. Null
+    and empty texts have none. A null path counts as no test path. Repeated rows
     give their candidates again; an empty table an empty result. The secret
     itself is not returned, only its hash.
     """
@@ -145,6 +148,7 @@ def scan(docs: DataFrame, score: Column, id_col: str = "doc_id", text_col: str =
     at = F.filter(number, lambda i: (F.length(F.get("words", i)) >= MIN_CHARS) & F.get("words", i).rlike("[0-9]") & F.get("words", i).rlike(SHAPE))
     found = F.transform(at, lambda i: F.struct(i.alias("word_no"), F.get("words", i).alias("word"), F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1)).alias("before")))
     out = rows.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "path", "c.word_no", "c.word", "c.before")
-    out = features(out.withColumn("core", F.regexp_extract("word", SHAPE, 0)))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(SHAPE), F.lit(0)), lambda r: r.rlike("[0-9]"))
+    out = features(out.select("*", F.posexplode(runs).alias("run_no", "core")))
     out = out.withColumn("score", score)
-    return out.select("doc_id", "word_no", F.length("core").alias("n_chars"), F.sha2("core", 256).alias("secret_sha256"), "score", (F.col("score") >= threshold).alias("is_secret"))
+    return out.select("doc_id", "word_no", "run_no", F.length("core").alias("n_chars"), F.sha2("core", 256).alias("secret_sha256"), "score", (F.col("score") >= threshold).alias("is_secret"))

@@ -283,6 +283,15 @@ def test_secrets(spark):
     assert {x.doc_id for x in got} >= {1, 2, 5}
 
 
+def test_secrets_takes_every_run_of_a_word(spark):
+    keys = ["4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e", "ghp_q8Zk3LmN0pR7sT2vX5yB9cD4fG6hJ1kL0mNb"]
+    rows = [(1, f'{{"api_key":"{keys[0]}","token":"{keys[1]}"}}'), (2, f"token={keys[1]} x"), (3, "a" * 30 + " " + "-" * 20)]
+    got = secrets.scan(frame(spark, rows), secrets.forest(spark)).collect()
+    want = [(i, k, hashlib.sha256(x.encode()).hexdigest()) for i, k, x in ((1, 0, keys[0]), (1, 1, keys[1]), (2, 0, keys[1]))]
+    assert sorted((x.doc_id, x.run_no, x.secret_sha256) for x in got) == sorted(want)
+    assert all(x.is_secret for x in got)
+
+
 def test_pipeline(spark):
     sys.path.insert(0, ".")
     import corpus_pipeline
