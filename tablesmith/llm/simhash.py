@@ -119,9 +119,3 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = scratch.write(joined.join(least, "root").select("fp", "component_id"), "of")
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of least id of each component, all columns kept; a group without ids stays whole."""
-    verdict = near_dedup(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(verdict, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
