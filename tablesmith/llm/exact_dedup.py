@@ -119,9 +119,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the copies, all its columns kept; rows that repeat an id and text leave one row."""
-    verdict = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    kept = docs.join(verdict, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    verdict = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
+    content = lambda text: F.sha2(normalised(text), 256)
+    kept = docs.join(verdict, docs[id_col].eqNullSafe(F.col("_kept_id")) & (content(docs[text_col]) == F.col("_kept_text")), "left_semi")
     if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
-        first = Window.partitionBy(id_col).orderBy(F.coalesce(F.col(text_col), F.lit("")))
+        first = Window.partitionBy(id_col, content(F.col(text_col))).orderBy(F.coalesce(F.col(text_col), F.lit("")))
         kept = kept.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
     return kept
