@@ -65,14 +65,24 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     with a null id hits words but is not named. Repeated rows give repeated
     rows, empty tables an empty result or no hits; other columns are not read.
     """
+    return verdicts(docs, bench, id_col, text_col, width).drop("rid")
+
+
+def row_id(text: Column) -> Column:
+    """Tells rows apart that share an id but not a text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def verdicts(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """As :func:`decontaminate`, with rid: :func:`row_id` of the text."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("rid", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("rid", row_id(F.col("text")))
     windows = scratch.write(benchmark_windows(bench, width=width), "windows")
     shape = windows.agg(F.collect_set("n").alias("lengths"), F.sum(F.octet_length("w") + 32 + 16 * F.size("items")).alias("bytes")).first()
     counted = rows.select("doc_id", "rid", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD)).cast("bigint").alias("n_words"))
     if not shape["lengths"]:
-        return counted.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return counted.select("doc_id", "rid", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
     found = scratch.write(hits(rows, windows, sorted(shape["lengths"]), shape["bytes"] <= BROADCAST_BYTES), "hits")
     word = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("word")
     covered = found.select("doc_id", "rid", word).distinct().groupBy("doc_id", "rid").agg(F.count("*").alias("n_hit"))
@@ -82,13 +92,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     facts = scratch.write(facts, "facts")
     out = counted.join(facts, same(counted, facts), "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("names", F.array().cast("array<string>"))
-    return out.select(counted["doc_id"], "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select(counted["doc_id"], counted["rid"], "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents, all columns kept; a null id stays."""
-    bad = decontaminate(docs, bench, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad, docs[id_col] == F.col("_bad_id"), "left_anti")
+    """``docs`` without the contaminated rows, all columns kept; rows are told apart by id (a null one too) and text."""
+    bad = verdicts(docs, bench, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("rid").alias("_bad_rid"))
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")) & (row_id(docs[text_col]) == F.col("_bad_rid")), "left_anti")
 
 
 def strip_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

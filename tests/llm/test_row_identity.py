@@ -1,6 +1,6 @@
 """Stages tell rows apart by id and text, null and repeated ids among them."""
 
-from tablesmith.llm import exact_dedup
+from tablesmith.llm import decontaminate, exact_dedup
 from tests.llm.test_corpus import frame
 
 
@@ -10,3 +10,11 @@ def test_drop_copies_tells_rows_apart(spark):
     assert left([(1, "A"), (5, "A"), (5, "B")]) == [(1, "A"), (5, "B")]
     both = left([(1, "a  b"), (1, "a b"), (1, "c"), (2, None), (2, "")])
     assert [(i, " ".join((t or "").split())) for i, t in both] == [(1, "a b"), (1, "c"), (2, "")]
+
+
+def test_drop_contaminated_tells_rows_apart(spark):
+    leak = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, leak)], "item_id bigint, text string")
+    rows = [(None, leak), (None, "clean"), (5, leak + " x"), (5, "clean too"), (6, None)]
+    got = decontaminate.drop_contaminated(frame(spark, rows), bench).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == [(5, "clean too"), (6, None), (None, "clean")]
