@@ -68,6 +68,29 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with as many underscores before it as set it apart from the columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
+def one_row_each(kept: DataFrame, docs: DataFrame, id_cols: list[str], content: Column, text_col: str) -> DataFrame:
+    """``kept`` with one row, that of least text, for each id and content, if any id of ``docs`` repeats.
+
+    The row is found by a partial aggregate, so a key with any number of rows
+    is combined where they are read.
+    """
+    if not docs.groupBy(*id_cols).count().where("count > 1").limit(1).count():
+        return kept
+    row = F.struct(*[kept[f"`{c}`"] for c in kept.columns])
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(id_cols)]
+    first = kept.select(*keys, content.alias("content"), F.coalesce(F.col(text_col), F.lit("")).alias("order"), row.alias("row"))
+    least = first.groupBy(*[f"k{i}" for i in range(len(id_cols))], "content").agg(F.min_by("row", "order").alias("row"))
+    return least.select("row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
