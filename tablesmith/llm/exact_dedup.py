@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name, one_row_each
 
 #: Characters in a block.
 BLOCK_CHARS = 4096
@@ -118,11 +118,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies, all its columns kept; rows that repeat an id and text leave one row."""
-    verdict = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    content = lambda text: F.sha2(normalised(text), 256)
-    kept = docs.join(verdict, docs[id_col].eqNullSafe(F.col("_kept_id")) & (content(docs[text_col]) == F.col("_kept_text")), "left_semi")
-    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
-        first = Window.partitionBy(id_col, content(F.col(text_col))).orderBy(F.coalesce(F.col(text_col), F.lit("")))
-        kept = kept.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
-    return kept
+    """``docs`` without the copies, all its columns kept.
+
+    Rows are told apart by id (a null one too) and normalised text; rows that
+    repeat both leave the one of least text. Any names of further columns will
+    do; an empty table stays one.
+    """
+    at, own = free_name(docs, "kept_id"), free_name(docs, "kept_text")
+    verdict = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(at), F.col("text_sha256").alias(own))
+    content = F.sha2(normalised(docs[text_col]), 256)
+    kept = docs.join(verdict, docs[id_col].eqNullSafe(F.col(at)) & (content == F.col(own)), "left_semi")
+    return one_row_each(kept, docs, [id_col], F.sha2(normalised(F.col(text_col)), 256), text_col)

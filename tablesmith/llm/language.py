@@ -177,14 +177,13 @@ def predict(text: str | None, m: Model | None, loaded: tuple | None = None) -> t
 
 def train(docs: DataFrame, usable: Column, per_language: int = TRAIN_PER_LANGUAGE, seed: int = 5, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
     """Fits on about ``per_language`` texts of each language among the ``usable`` rows, drawn by a seeded hash of the id in one pass."""
-    spark = docs.sparkSession
     pool = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     counts = pool.groupBy(F.col(lang_col).alias("lang")).count().collect()
     if not counts:
         return None
-    rates = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "_lang string, _rate double"))
+    rate = F.coalesce(*[F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in counts], F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    rows = pool.join(rates, F.col(lang_col) == F.col("_lang")).where(draw < F.col("_rate")).select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(lang_col).alias("g")).collect()
+    rows = pool.where(draw < rate).select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(lang_col).alias("g")).collect()
     rows = sorted(rows, key=lambda r: (r["i"], r["t"]))
     return fit([r["t"] for r in rows], [r["g"] for r in rows])
 
