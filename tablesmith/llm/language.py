@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 #: Texts of each language in the training sample, about.
 TRAIN_PER_LANGUAGE = 400
-#: Letters with a code of their own; 0 is a run of non-letters, 1 any other letter.
-LETTERS = 62
-BASE = LETTERS + 2
+#: n-grams of whole code points are hashed into so many bits; non-letters are one code point, 0.
+HASH_BITS = 20
 PIECE_CHARS = 1 << 20
 UNKNOWN = "und"
 
@@ -28,7 +27,6 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
-    letters: str
     ids: np.ndarray
     weights: np.ndarray  # float32, a row for each id
     bias: np.ndarray
@@ -36,39 +34,40 @@ class Model:
 
 
 _LETTER: list[np.ndarray] = []
+_START = np.zeros(2, np.uint64)
+N_IDS = 1 << HASH_BITS
+# Odd multipliers, one for each place of an n-gram.
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def _codes(letters: str) -> np.ndarray:
-    """Code of every code point."""
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
     if not _LETTER:
         _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000))
-    table = _LETTER[0].copy()
-    for i, c in enumerate(letters):
-        table[ord(c)] = i + 2
-    return table
+    return _LETTER[0]
 
 
-def _ngrams(text: str, table: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of a piece after ``tail`` (the last two codes before it), its n-gram ids, and the next tail."""
+def _ngrams(text: str, tail: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether a piece has a letter, the ids of its one, two and three letters after ``tail`` (the last two codes before it), and the next tail."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    c = table[points].astype(np.int32)
+    c = (points * _letters()[points]).astype(np.uint64)
     full = np.concatenate([tail, c])
     keep = np.ones(len(full), bool)
     keep[2:] = (full[2:] != 0) | (full[1:-1] != 0)
     full = full[keep]
-    two = full[1:-1] * BASE + full[2:]
-    tri = BASE * BASE + BASE + full[:-2] * (BASE * BASE) + two
-    return c, np.concatenate([full[2:][full[2:] > 0], BASE + two, tri]), full[-2:]
+    last, shift = full[2:], np.uint64(64 - HASH_BITS)
+    one = (last + np.uint64(1)) * _ODD[0]
+    two = one + (full[1:-1] + np.uint64(2)) * _ODD[1]
+    three = two + (full[:-2] + np.uint64(3)) * _ODD[2]
+    mixed = np.concatenate([one[last > 0], two, three])
+    mixed ^= mixed >> np.uint64(29)
+    return bool(c.any()), (mixed * _ODD[1] >> shift).astype(np.int64), full[-2:]
 
 
-_START = np.zeros(2, np.int32)
-N_IDS = BASE + BASE * BASE + BASE**3
-
-
-def _all_ids(text: str, table: np.ndarray) -> np.ndarray:
+def _all_ids(text: str) -> np.ndarray:
     tail, out = _START, []
     for i in range(0, max(1, len(text)), PIECE_CHARS):
-        _, ids, tail = _ngrams(text[i : i + PIECE_CHARS], table, tail)
+        _, ids, tail = _ngrams(text[i : i + PIECE_CHARS], tail)
         out.append(ids)
     return np.concatenate(out)
 
@@ -83,13 +82,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 3, epochs: int = 4, alph
     names = tuple(sorted(set(langs)))
     if not names:
         return None
-    rng, counts = np.random.default_rng(seed), {}
-    for t in texts:
-        for ch in t.lower():
-            counts[ch] = counts.get(ch, 0) + 1
-    letters = "".join(sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))[:LETTERS])
-    table = _codes(letters)
-    rows = []
+    rng, rows = np.random.default_rng(seed), []
     for t, g in zip(texts, langs, strict=True):
         y = names.index(g)
         rows.append((t, y))
@@ -97,7 +90,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 3, epochs: int = 4, alph
             if len(t) > width:
                 at = int(rng.integers(0, len(t) - width))
                 rows.append((t[at : at + width], y))
-    vectors = [np.unique(_all_ids(t, table), return_counts=True) for t, _ in rows]
+    vectors = [np.unique(_all_ids(t), return_counts=True) for t, _ in rows]
     df = np.zeros(N_IDS, np.int32)
     for ids, _ in vectors:
         df[ids] += 1
@@ -140,33 +133,27 @@ def fit(texts: list[str], langs: list[str], seed: int = 3, epochs: int = 4, alph
     loss = [-np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in steps] if len(truth) else [0.0]
     temperature = float(steps[int(np.argmin(loss))]) if len(truth) else 1.0
     keep = np.abs(w[:-1]).sum(axis=1) > 0
-    return Model(names, letters, used[keep], (w[:-1] * idf[:, None])[keep].astype(np.float32), 0.1 * w[bias], temperature)
-
-
-_LOADED: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    return Model(names, used[keep], (w[:-1] * idf[:, None])[keep].astype(np.float32), 0.1 * w[bias], temperature)
 
 
 def _load(m: Model) -> tuple[np.ndarray, np.ndarray]:
-    key = hash((m.letters, m.langs, m.ids.tobytes(), m.weights.tobytes()))
-    if key not in _LOADED:
-        _LOADED.clear()
-        full = np.zeros((N_IDS, len(m.langs)), np.float32)
-        full[m.ids] = m.weights
-        _LOADED[key] = _codes(m.letters), full
-    return _LOADED[key]
+    """The place of every id's weights, and the weights; place 0 has none."""
+    place = np.zeros(N_IDS, np.int32)
+    place[m.ids] = np.arange(1, len(m.ids) + 1)
+    return place, np.concatenate([np.zeros((1, len(m.langs)), np.float32), m.weights.reshape(-1, len(m.langs))])
 
 
 def predict(text: str | None, m: Model | None, loaded: tuple | None = None) -> tuple[str, float]:
     """(language, probability); (``und``, 0) for a text without letters."""
     if not text or m is None:
         return UNKNOWN, 0.0
-    table, full = loaded or _load(m)
+    place, weights = loaded or _load(m)
     total, n, tail, seen = np.zeros(len(m.langs)), 0, _START, False
     for i in range(0, len(text), PIECE_CHARS):
-        c, ids, tail = _ngrams(text[i : i + PIECE_CHARS], table, tail)
-        seen = seen or bool(c.any())
+        any_letter, ids, tail = _ngrams(text[i : i + PIECE_CHARS], tail)
+        seen = seen or any_letter
         for j in range(0, len(ids), 1 << 16):
-            total += full[ids[j : j + (1 << 16)]].sum(axis=0, dtype=np.float64)
+            total += weights[place[ids[j : j + (1 << 16)]]].sum(axis=0, dtype=np.float64)
         n += len(ids)
     if not seen:
         return UNKNOWN, 0.0

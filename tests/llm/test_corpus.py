@@ -235,6 +235,23 @@ def test_language():
     assert language.fit([], []) is None
 
 
+def test_language_of_many_scripts(spark):
+    """Letters beyond any small alphabet tell languages apart, and a text in an unknown script is near the bias."""
+    r = random.Random(9)
+    spans = {"el": (0x3B1, 24), "ru": (0x430, 32), "ar": (0x627, 28), "zh": (0x4E00, 900), "zz": (0x5200, 900), "ko": (0xAC00, 900)}
+    make = lambda g, n: " ".join("".join(chr(spans[g][0] + int(spans[g][1] * r.random() ** 2)) for _ in range(4)) for _ in range(n))
+    texts, langs = zip(*[(make(g, r.randint(5, 60)), g) for g in spans for _ in range(60)], strict=True)
+    m = language.fit(list(texts), list(langs))
+    tests = [(make(g, 15), g) for g in spans for _ in range(30)]
+    assert sum(language.predict(t, m)[0] == g for t, g in tests) >= 0.97 * len(tests)
+    assert language.predict("あいう えお", m)[1] < 0.6
+    rows = [(i, t, None, g) for i, (t, g) in enumerate(zip(texts, langs, strict=True))] + [(None, "x", None, "el"), (900, None, None, "el"), (901, "", None, None), (0, texts[0], None, langs[0])]
+    docs = frame(spark, rows).withColumns({"_lang": F.lit("q"), "_rate": F.lit(1), "g": F.lit(2)})
+    out = language.identify(docs, language.train(docs, F.lit(True))).collect()
+    assert len(out) == len(rows) and {x.lang_pred for x in out if x.doc_id in (900, 901)} == {"und"}
+    assert language.train(docs.limit(0), F.lit(True)) is None and language.identify(docs.limit(0), None).count() == 0
+
+
 def test_quality_and_toxicity(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice(["the", "er", "on", "ti", "re"]) for _ in range(3))
