@@ -110,4 +110,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = drawn.withColumn("u", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(100)))
     ids = docs.sparkSession.createDataFrame(drawn.toPandas(), "doc_id bigint, y int, u bigint")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y", "u")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    # Of rows that share an id one is drawn, so that the bound holds.
+    return found.groupBy("doc_id", "y", "u").agg(F.min("text").alias("text")).select("text", "y", "u")

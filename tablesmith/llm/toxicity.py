@@ -6,8 +6,10 @@ and word stems of the insult trie, and their weights, come from labelled texts
 beside a short list of common ones. Four small transducers over classes
 (insult or threat with its target, negation, reported speech, repetition) are
 composed into one machine, which reads every clause that holds an insult or
-threat and gives it a weight. A text's evidence is the sum of its clauses'
-weights; a logistic curve fitted on labelled texts makes it a score.
+threat and gives it a weight, apart for what words and what stems bear. A
+text's evidence is the sum of its clauses' weights; a logistic curve over both
+sums and the density of the second, fitted on labelled texts whose terms come
+from others, makes it a score.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import labelled_sample
-from .quality import logistic
 
 #: Labelled clean and toxic documents in the training sample, at most.
 TRAIN_PER_CLASS = (5000, 3000)
 #: How much commoner a learned word or stem must be in toxic texts, and the chance that any one of them is learned by accident.
 MIN_LOG_ODDS, ERROR_RATE = 2.5, 0.02
 STEMS = (4, 5, 6, 7)
-MAX_TERMS = 4000
+#: Characters over which the density of stems is taken.
+CHARS = 200
+#: Parts of the sample; the curve sees each with the terms of the others.
+FOLDS = 3
 
 # Common words of each class in four languages.
 INSULTS = "idiot moron stupid dumb loser scum trash pathetic worthless disgusting clown imbecile fool idiota estupido basura idiote imbecile stupide dumm idiotin abschaum".split()
@@ -50,8 +54,7 @@ CLAUSE_END = re.compile(r"[.!?;:\n|]")
 class Model:
     words: dict[str, float]
     stems: dict[str, float]
-    slope: float
-    offset: float
+    curve: tuple[float, ...]
 
 
 #: Transducers over classes: state -> class -> (state, factor on the pending weight). Missing: stay, 1.
@@ -91,27 +94,30 @@ class Reader:
         if len(self.find):
             self.find.make_automaton()
 
-    def read(self, word: str) -> tuple[str, float]:
+    def read(self, word: str) -> tuple[str, float, int]:
+        """Class, weight, and whether a stem bears it."""
         got = self.words.get(word)
         if got is None:
             for n in self.lengths:
                 if len(word) >= n and (x := self.stems.get(word[:n])) is not None:
-                    return "i", x
-        return got or ("o", 0.0)
+                    return "i", x, 1
+            return "o", 0.0, 0
+        return *got, 0
 
-    def clause(self, text: str) -> float:
-        state, total = START, 0.0
+    def clause(self, text: str) -> list[float]:
+        state, total = START, [0.0, 0.0]
         for m in WORD.finditer(text):
-            c, x = self.read(m[0])
+            c, x, stem = self.read(m[0])
             state, factor = GRAMMAR[state, c]
-            total += x * factor
+            total[stem] += x * factor
         return total
 
-    def evidence(self, text: str | None) -> float:
-        """The sum of the clauses' weights, by half for what a clause adds beyond 6."""
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """The sums of the clauses' weights by words and by stems, by half for what a clause adds beyond 6."""
+        total, upto = [0.0, 0.0], 0
         if not text or not len(self.find):
-            return 0.0
-        low, total, upto = text.lower(), 0.0, 0
+            return 0.0, 0.0
+        low = text.lower()
         for end, n in self.find.iter(low):
             at = end - n + 1
             if at < upto or at and low[at - 1].isalpha():
@@ -119,10 +125,14 @@ class Reader:
             left = max((low.rfind(c, upto, at) for c in ".!?;:\n|"), default=-1) + 1
             stop = CLAUSE_END.search(low, end)
             right = stop.start() if stop else len(low)
-            w = self.clause(low[max(left, upto) : right])
-            total += min(w, 6.0) + max(w - 6.0, 0.0) / 2
+            for k, w in enumerate(self.clause(low[max(left, upto) : right])):
+                total[k] += min(w, 6.0) + max(w - 6.0, 0.0) / 2
             upto = right
-        return total
+        return total[0], total[1]
+
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        words, stems = self.evidence(text)
+        return math.log1p(words), math.log1p(stems), math.log1p(CHARS * stems / (len(text or "") + CHARS))
 
 
 def without_copies(texts: list[str], slots: int = 8, same: int = 3) -> list[str]:
@@ -141,47 +151,86 @@ def without_copies(texts: list[str], slots: int = 8, same: int = 3) -> list[str]
     return out
 
 
-def induce(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that mark toxic texts, with weights: smoothed log odds of document shares, shrunk to (0, 3].
+def word_set(text: str) -> frozenset[str]:
+    return frozenset(WORD.findall(text.lower()))
 
-    A term counts only if its share of toxic texts is beyond what chance gives
-    any of the terms tried (a bound on the binomial tail against ERROR_RATE).
-    """
-    own = [[set(WORD.findall(t.lower())) for t in texts] for texts in (toxic, clean)]
-    n1, n0 = len(toxic) + 1, len(clean) + 1
-    share = n1 / (n1 + n0)
 
-    def tail(a: int, b: int) -> float:
-        """Chernoff's bound on the log chance of a or more of a + b texts being toxic."""
-        q = a / (a + b)
-        return -(a + b) * (q * math.log(q / share) + (1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else math.log(1 / share)) if q > share else 0.0
+def induce(toxic: list[frozenset[str]], clean: list[frozenset[str]]) -> tuple[dict[str, float], dict[str, float]]:
+    """From the word sets of texts: words and stems that mark toxic texts, with weights: smoothed log odds, shrunk to (0, 3].
+
+    A word counts by the texts that have it, a stem by the distinct words that
+    bear it, summed over the texts. A term is kept only if its share of toxic
+    texts (or of their words) is beyond what chance gives any of the terms
+    tried: a bound on the binomial tail against ERROR_RATE.
+    """
+    own = [toxic, clean]
 
-    def marks(sides: list[Counter]) -> dict[str, float]:
-        out, most = {}, math.log(ERROR_RATE / max(1, len(sides[0])))
+    def marks(sides: list[Counter], n1: float, n0: float) -> dict[str, float]:
+        share, out, most = n1 / (n1 + n0), {}, math.log(ERROR_RATE / max(1, len(sides[0])))
         for w, a in sides[0].items():
             b = sides[1][w]
-            odds = math.log((a + 0.25) / n1) - math.log((b + 0.25) / n0)
-            if odds >= MIN_LOG_ODDS and tail(a, b) <= most:
+            odds, q = math.log((a + 0.25) / n1) - math.log((b + 0.25) / n0), a / (a + b)
+            if odds < MIN_LOG_ODDS or q <= share:
+                continue
+            # Chernoff's bound on the log chance of a or more of a + b being toxic.
+            tail = -(a + b) * (q * math.log(q / share) + (1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else math.log(1 / share))
+            if tail <= most:
                 out[w] = min(3.0, 0.6 * odds)
-        return dict(sorted(out.items(), key=lambda x: (-x[1], -sides[0][x[0]], x[0]))[:MAX_TERMS])
-
-    words = marks([Counter(w for t in side for w in t) for side in own])
-    stems = marks([Counter(s for t in side for s in {w[:n] for w in t for n in STEMS if len(w) > n}) for side in own])
-    # A stem has to stand on several words, and they must be words of toxic texts.
-    kinds = [Counter(w[:n] for w in set().union(*side) for n in STEMS if len(w) > n) for side in own]
-    stems = {s: x for s, x in stems.items() if kinds[0][s] >= 3 and kinds[0][s] >= 10 * kinds[1][s]}
-    return words, stems
+        return out
+
+    words = marks([Counter(w for t in side for w in t) for side in own], len(toxic) + 1, len(clean) + 1)
+    borne = [Counter(w[:n] for t in side for w in t for n in STEMS if len(w) > n) for side in own]
+    stems = marks(borne, *(sum(map(len, side)) + 1 for side in own))
+    texts = Counter(s for t in own[0] for s in {w[:n] for w in t for n in STEMS if len(w) > n} if s in stems)
+    kinds = Counter(w[:n] for w in set().union(*own[0]) for n in STEMS if len(w) > n)
+    return words, {s: x for s, x in stems.items() if texts[s] >= 3 and kinds[s] >= 3}
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float, ...]:
+    """Offset and slopes (none below zero) by Newton steps; both classes weigh the same."""
+    k = x.shape[1] if x.ndim == 2 else 0
+    if not len(y) or y.min() == y.max():
+        return float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0, *[0.0] * (k or 3)
+    w = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    used = list(range(k))
+    while True:
+        a = np.concatenate([np.ones((len(y), 1)), x[:, used]], axis=1)
+        pull, b = ridge * np.array([1e-3] + [1.0] * len(used)) * len(y) / 100, np.zeros(1 + len(used))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+            step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(pull + 1e-9), a.T @ (w * (y - p)) - pull * b)
+            b += step
+            if np.abs(step).max() < 1e-8:
+                break
+        low = [i for i, s in zip(used, b[1:], strict=True) if s < 0]
+        if not low:
+            slopes = dict(zip(used, b[1:], strict=True))
+            return float(b[0]), *(float(slopes.get(i, 0.0)) for i in range(k))
+        used = [i for i in used if i not in low]
+
+
+def learn(rows: list[tuple[int, int, str]]) -> Model:
+    """From (label, number that deals out the folds, text)."""
+    x, y, fold = [], [], {t: u % FOLDS for _, u, t in rows}
+    parts = [[(fold[t], word_set(t)) for t in without_copies([t for c, _, t in rows if c == k])] for k in (1, 0)]
+    for k in range(FOLDS):
+        words, stems = induce(*([ws for f, ws in part if f != k] for part in parts))
+        reader = Reader({w: 1.5 for w in INSULTS} | words, stems)
+        own = [(reader.features(t), c) for c, u, t in rows if u % FOLDS == k]
+        x += [f for f, _ in own]
+        y += [c for _, c in own]
+    words, stems = induce(*([ws for _, ws in part] for part in parts))
+    return Model({w: 1.5 for w in INSULTS} | words, stems, fit_curve(np.array(x, float).reshape(-1, 3), np.array(y, int)))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = TRAIN_PER_CLASS) -> Model:
-    """labels: doc_id, toxic, of rows that may be learned from. Terms come from two thirds of the sample, the curve from the rest."""
-    rows = sorted((r["y"], r["u"], r["text"]) for r in labelled_sample(docs, labels, "toxic", per_class).collect())
-    words, stems = induce(*(without_copies([t for c, u, t in rows if c == y and u < 66]) for y in (1, 0)))
-    words = {w: 1.5 for w in INSULTS} | words
-    reader = Reader(words, stems)
-    rest = [(reader.evidence(t), y) for y, u, t in rows if u >= 66]
-    slope, offset = logistic(np.log1p(np.array([x for x, _ in rest])), np.array([y for _, y in rest], int), ridge=0.05)
-    return Model(words, stems, max(0.0, slope), offset)
+    """labels: doc_id, toxic, of rows that may be learned from.
+
+    Rows without an id or a label of 0 or 1 are not drawn; a null text counts
+    as empty, and of rows that share an id one is drawn. Without labels of both
+    classes the score is the share of the one there is; other columns are not read.
+    """
+    return learn(sorted((r["y"], r["u"], r["text"]) for r in labelled_sample(docs, labels, "toxic", per_class).collect()))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,8 +246,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = sent.value
         reader = Reader(m.words, m.stems)
         for b in batches:
-            x = np.log1p(np.array([reader.evidence(t.as_py()) for t in b.column(1)], float))
-            p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30)))
+            x = np.array([reader.features(t.as_py()) for t in b.column(1)], float).reshape(-1, 3)
+            p = 1 / (1 + np.exp(-np.clip(x @ np.array(m.curve[1:]) + m.curve[0], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.7).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -278,12 +278,32 @@ def test_quality_and_toxicity(spark):
 
 def test_grammar():
     reader = toxicity.Reader({"idiot": 1.5}, {"vequ": 2.0})
-    plain, aimed, denied, told = (reader.evidence(x) for x in ("the idiot went.", "you idiot went.", "not an idiot. fine", "she said: idiot"))
+    plain, aimed, denied, told = (reader.evidence(x)[0] for x in ("the idiot went.", "you idiot went.", "not an idiot. fine", "she said: idiot"))
     assert aimed > plain > denied > 0 and told == plain  # the colon ends the clause
-    assert reader.evidence("she said the idiot left") < plain + 0.5
-    assert reader.evidence("a vequta b") > 0 and reader.evidence("idiotic") == 0
+    assert reader.evidence("she said the idiot left")[0] < plain + 0.5
+    assert reader.evidence("a vequta b") == (0, 2.0) and reader.evidence("idiotic") == (0, 0)
 
 
+def test_toxic_stems(spark):
+    """Words that share a stem but hardly ever repeat are learned, and a chance one in a long clean text is not enough."""
+    r = random.Random(10)
+    word = lambda: "".join(r.choice(["men", "lar", "oso", "qui", "te", "ba"]) for _ in range(3))
+    docs, labels = [], []
+    for i in range(300):
+        toxic = i % 6 == 0
+        ws = [word() for _ in range(80 if toxic else r.choice((80, 1500)))]
+        for _ in range(5 if toxic else r.choice((0, 0, 1)) if len(ws) > 100 else 0):
+            ws[r.randrange(len(ws))] = "vrelux" + word()
+        docs.append((i, " ".join(ws)))
+        labels.append((i, 1, int(toxic)))
+    docs += [(900, None), (901, ""), (None, "x"), (1, "repeated id"), (902, "x" * 300_000)]
+    d, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(d, lab.where("doc_id % 2 = 0"))
+    got = {x.doc_id: x for x in toxicity.score(d, model).collect() if x.doc_id not in (1, None)}
+    held = [(got[i].predicted, y) for i, _, y in labels if i % 2 and i != 1] + [(got[i].predicted, 1) for i in range(0, 300, 6)]
+    assert any(s.startswith("vrel") for s in model.stems) and sum(p == y for p, y in held) >= 0.97 * len(held)
+    assert toxicity.score(d.limit(0), toxicity.train(d.limit(0), lab)).count() == 0
+
 def test_urls(spark):
     rules = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"))
     rows = [(1, "http://A.Example.NET/en/x?q"), (2, "https://x.net/a"), (3, "http://example.com/de/1#t"), (4, "nothing"), (5, None), (6, "http://freebets.example.com/en/1"), (7, "http://therhe.example.com/en/1"), (8, "http://x.net"), (9, "http://notexample.com/de/1")]
