@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import sys
@@ -313,7 +314,30 @@ def test_urls(spark):
     assert [got[i].rule for i in range(1, 10)] == ["example.net/en/", "net/", "example.com/de/", None, None, None, None, None, None]
     assert [got[i].verdict for i in (1, 2, 3, 4, 5, 6, 7)] == ["allow", "block", "block", "allow", "allow", "block", "allow"]
     assert got[1].host == "a.example.net" and got[1].path == "/en/x" and got[4].host == "" == got[5].path
-    assert urls.split_words("casinowin", {"casino": 3.0, "win": 3.0}, 9.0) == ["casino", "win"]
+    assert urls.split_words("casinowin", {(0, 6): 3.0, (6, 9): 3.0}, 9.0) == ["casino", "win"]
+
+
+def test_urls_learn_from_split_words(spark):
+    """A seed inside a concatenated name labels its url, and what stands beside it is learned, whatever the names' lengths."""
+    hosts = ["bestcasinowins", "free-bets", "luckyjackpot", "gardenblog", "openmuseum", "sciencenews"]
+    rows = [(i, f"http://{h}.example.com/{'zorkle' if k < 3 else 'plimth'}/{i}") for i, (k, h) in enumerate(list(enumerate(hosts)) * 30)]
+    rows += [(1000, "http://zorkle.example.com/zorkle"), (1001, "http://plimth.example.com/plimth"), (1002, "http://" + "casinowin" * 80 + ".com/"), (None, None), (1003, "://"), (1000, "http://zorkle.example.com/zorkle")]
+    rows += [(2000 + i, f"http://{w}.example.com/") for i, w in enumerate(["best", "wins", "lucky"] * 3)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id int, url string, word string, rid int")
+    model = urls.train(pages)
+    got = {x.page_id: x for x in urls.judge(pages, (), model).collect()}
+    assert got[1000].verdict == "block" and got[1001].verdict == "allow" and got[1002].verdict == "block" and got[None].verdict == got[1003].verdict == "allow"
+    assert urls.judge(pages, (), model).count() == len(rows)
+    # Every name's words are those of a plain search with the whole dictionary.
+    words = model.words.collect()
+    cost, weight = ({x.word: getattr(x, c) for x in words if getattr(x, c) is not None} for c in ("cost", "weight"))
+    for i, url in rows[:200:7] + [rows[182]]:
+        z = 0
+        for name in re.findall("[a-z]+", (url or "").partition("://")[2]):
+            known = {(a, e): cost[name[a:e]] for a in range(len(name)) for e in range(a + 1, min(len(name), a + urls.MAX_WORD_CHARS) + 1) if name[a:e] in cost}
+            z += sum(weight.get(w, 0) for w in urls.split_words(name, known, model.unknown))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z / urls.MICRO + model.prior)))))
+    assert urls.judge(pages.limit(0), (), urls.train(pages.limit(0))).count() == 0
 
 
 def test_secrets(spark):
