@@ -7,10 +7,13 @@ of the token count. A token sequence is the tokenizer's own exactly if each
 neighbouring pair is, so the last token after any prefix is unique and the
 state set is finite. States are built when first met and kept under a bound.
 
-A text is cut into chunks. A chunk is a map of states: before its first place
-where every run must start a new piece (a blank after a non-blank) it depends
-on what came before, behind that it is constant. Maps compose associatively,
-in a tree, to the map of the whole text.
+A text is cut into chunks, each a row of its own. A chunk is a map of states:
+before its first place where every run must start a new piece (a blank after a
+non-blank) it depends on the state before it, behind that it is constant. It is
+kept as what is yet to be read from the state before (the head), the tokens of
+the constant middle, and the characters read since the last such place, which
+name the state at its end. Maps compose associatively; the maps of a text are
+combined in the order of its chunks, in a tree.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_CHARS = 1 << 16
+#: States, and pieces of either of two generations, that a process keeps; beyond them they are built again.
 MAX_STATES = 1 << 18
-MAX_PIECES = 1 << 17
+MAX_PIECES = 1 << 18
 
 
 def _byte_chars() -> dict[str, int]:
@@ -65,12 +71,13 @@ class Transducer:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.cut = regex.compile(r"(?<=\S)(?=\s)")
         self.pair: dict[tuple[int, int], bool] = {}
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
         start = ((0, -1, 0),)
         self.states, self.numbers, self.trans = [start], {start: 0}, {}
-        self.pieces: dict[str, int] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The tokens of a short piece by merging lowest ranks first; only for compiling."""
@@ -118,15 +125,19 @@ class Transducer:
         return total
 
     def _run(self, text: str) -> int:
-        total, known = 0, self.pieces
+        total, young, old = 0, self.young, self.old
         for p in self.find(text):
-            n = known.get(p)
+            n = young.get(p)
             if n is None:
-                n = self.piece(p)
+                n = old.get(p)
+                if n is None:
+                    n = self.piece(p)
                 if len(p) < 64:
-                    known[p] = n
+                    young[p] = n
             total += n
-        if len(known) > MAX_PIECES or len(self.states) > MAX_STATES:
+        if len(young) > MAX_PIECES:
+            self.young, self.old = {}, young
+        if len(self.states) > MAX_STATES:
             self._reset()
         return total
 
@@ -162,15 +173,18 @@ class Transducer:
             return one[0], one[1], one[2] + two[0]
         return one[0], one[1] + self.run(one[2] + two[0]) + two[1], two[2]
 
-    def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
-        if len(text) <= chunk_chars:
-            return self.run(text)
-        maps = [self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
+    def composed(self, maps: list[tuple]) -> int:
+        """The tokens of a text whose chunks have these maps, in order."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         head, mid, tail = maps[0]
         return self.run(head) + (mid or 0) + self.run(tail)
 
+    def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
+        if len(text) <= chunk_chars:
+            return self.run(text)
+        return self.composed([self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)])
+
 
 @lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
@@ -178,20 +192,46 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_tokens, over_limit.
+def _chunk_maps(chunks: DataFrame, path: str, kind: str) -> DataFrame:
+    """Of (doc_id, rid, n_bytes, n_chunks, k, chunk): the map of each chunk; a text of one chunk has its tokens in mid."""
 
-    ``path`` names a byte-level BPE file that every executor can read. Null
-    counts as empty, which has no token. Repeated rows give repeated rows, an
-    empty table an empty result; other columns are not read.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(path)
+        for b in batches:
+            maps = [("", t.run(c.as_py()), "") if n.as_py() == 1 else t.chunk_map(c.as_py()) for n, c in zip(b.column(3), b.column(5), strict=True)]
+            head, mid, tail = zip(*maps, strict=True) if maps else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(head, pa.string()), pa.array(mid, pa.int64()), pa.array(tail, pa.string())], names=["doc_id", "rid", "n_bytes", "n_chunks", "k", "head", "mid", "tail"])
+
+    return chunks.mapInArrow(run, f"doc_id {kind}, rid bigint, n_bytes bigint, n_chunks int, k int, head string, mid bigint, tail string")
+
+
+def _composed(long: DataFrame, path: str, kind: str) -> DataFrame:
+    """Of (doc_id, n_bytes, maps), the maps in order: (doc_id, n_bytes, n_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for b in batches:
-            counts = [t.count(x.as_py() or "") for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            counts = [t.composed([(m["head"], m["mid"], m["tail"]) for m in ms.as_py()]) for ms in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    return long.select("doc_id", "n_bytes", "maps").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
 
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, n_tokens, over_limit.
+
+    ``path`` names a byte-level BPE file that every executor can read. Null
+    counts as empty, which has no token. Repeated rows give repeated rows, an
+    empty table an empty result; other columns are not read. Chunks of one text
+    may be read by different tasks; a group holds one text's maps.
+    """
+    scratch, kind = Scratch(docs.sparkSession, "tokens"), docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))
+    cut = F.when(F.length("text") <= chunk_chars, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
+    chunks = rows.select("doc_id", "rid", "n_bytes", cut.alias("cut")).select("doc_id", "rid", "n_bytes", F.size("cut").alias("n_chunks"), F.posexplode("cut").alias("k", "chunk"))
+    maps = scratch.write(_chunk_maps(chunks, path, kind), "maps")
+    short = maps.where("n_chunks = 1").select("doc_id", "n_bytes", F.col("mid").alias("n_tokens"))
+    long = maps.where("n_chunks > 1").groupBy("rid", "doc_id", "n_bytes").agg(F.array_sort(F.collect_list(F.struct("k", "head", "mid", "tail"))).alias("maps"))
+    counted = short.union(_composed(long, path, kind))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

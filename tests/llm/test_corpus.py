@@ -156,6 +156,12 @@ def test_tokens(spark):
         assert mine.count(x) == want, x
         for chunk in (1, 3, 7, 16):
             assert mine.count(x, chunk) == want, (x, chunk)
+    # Chunks as rows: the same counts, for texts without a place to cut as well.
+    many = [(i, x) for i, x in enumerate(texts[-60:])] + [(None, "ab" * 40), (None, "ab" * 40), (70, None), (71, "")]
+    counted = tokens.token_counts(frame(spark, many), path, chunk_chars=9).collect()
+    expect = [(i, len(lib.encode(x or "", add_special_tokens=False).ids)) for i, x in many]
+    assert sorted(((x.doc_id, x.n_tokens) for x in counted), key=str) == sorted(expect, key=str)
+    assert tokens.token_counts(frame(spark, []), path).count() == 0
     rows = tokens.token_counts(frame(spark, [(1, None), (2, "a b"), (2, "a b"), (None, "é")]), path, limit=1).collect()
     assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == [(0, 0, False), (2, 1, False), (3, 2, True), (3, 2, True)]
 
