@@ -210,7 +210,7 @@ class Engine:
             t = targets.get(m["target"])
             if t is None or (t.on_drift == "freeze" and m["drift"]):
                 continue
-            rows = quality.enforce(quality.apply_mapping(self.spark.read.parquet(m["path"]), list(t.fields), json.loads(m["mapping"])), list(t.fields))
+            rows = quality.conformed(self.spark.read.parquet(m["path"]), list(t.fields), json.loads(m["mapping"]))
             base = f"{self.root}/canonical/{view_name(t.name)}"
             path, bad = f"{base}/{m['name']}__{m['canonical_id']}.parquet", f"{self.root}/quarantine/{m['name']}__{m['canonical_id']}.parquet"
             quality.good(rows).write.mode("overwrite").parquet(path)

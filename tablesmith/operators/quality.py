@@ -95,6 +95,9 @@ class Field:
     required: bool = False
     nullable: bool | None = None
     allowed: tuple = field(default_factory=tuple)
+    unit: str = ""
+    description: str = ""
+    title: str = ""
 
     @property
     def may_be_null(self) -> bool:
@@ -104,39 +107,76 @@ class Field:
 SPARK_TYPES = {"str": "string", "int": "bigint", "float": "double", "date": "timestamp", "bool": "boolean"}
 
 
+def _mapped(df: DataFrame, f: Field, spec: dict) -> Column:
+    """A declared column's value before it is held to its type: text keeps what a cast cannot take."""
+    if "const" in spec:
+        return F.lit(spec["const"])
+    if spec.get("source") not in df.columns:
+        return F.lit(None).cast(SPARK_TYPES[f.dtype])
+    raw = F.col(f"`{spec['source']}`")
+    if "cast" not in spec and "scale" not in spec:
+        return raw
+    kind = SPARK_TYPES.get(spec.get("cast", f.dtype), SPARK_TYPES[f.dtype])
+    read = typed(raw, kind)
+    if "scale" in spec:
+        read = (read.cast("double") if kind in ("bigint", "double") else raw.try_cast("double")) * F.lit(spec["scale"])
+        return F.coalesce(read.cast("string"), raw.cast("string")) if isinstance(df.schema[spec["source"]].dataType, T.StringType) else read
+    return F.coalesce(read.cast("string"), raw.cast("string"))
+
+
+def typed(c: Column, kind: str) -> Column:
+    """A value as a declared type, null if it is none of it; a number with a fraction is no integer, ``yes`` and ``0`` are booleans."""
+    word = F.trim(c.cast("string"))
+    if kind == "bigint":
+        number = word.try_cast("double")
+        return F.when(word.rlike("^[+-]?[0-9]+$"), word.try_cast("bigint")).when(number == F.floor(number), number.try_cast("bigint"))
+    if kind == "boolean":
+        low = F.lower(word)
+        return F.when(low.isin("true", "t", "yes", "y", "1"), True).when(low.isin("false", "f", "no", "n", "0"), False)
+    return c.cast("string") if kind == "string" else word.try_cast(kind)
+
+
 def apply_mapping(df: DataFrame, fields: list[Field], mapping: dict[str, dict]) -> DataFrame:
-    """One projection to the declared columns. mapping: target -> {source | const, cast, scale}; unmapped columns are null."""
-    out = []
-    for f in fields:
-        m, kind = mapping.get(f.name, {}), SPARK_TYPES[f.dtype]
-        if "const" in m:
-            c = F.lit(m["const"])
-        elif m.get("source") in df.columns:
-            c = F.col(f"`{m['source']}`").try_cast(SPARK_TYPES.get(m.get("cast", f.dtype), kind))
-        else:
-            c = F.lit(None)
-        if "scale" in m:
-            c = c * F.lit(m["scale"])
-        out.append(c.try_cast(kind).alias(f.name))
-    return df.select(*out)
+    """One projection to the declared columns. mapping: target -> {source | const, cast, scale}; unmapped columns are null.
+
+    A value that its declared type cannot take is null here; :func:`conformed`
+    keeps it and sends its row to quarantine.
+    """
+    return df.select(*[typed(_mapped(df, f, mapping.get(f.name, {})), SPARK_TYPES[f.dtype]).alias(f.name) for f in fields])
 
 
 def enforce(df: DataFrame, fields: list[Field]) -> DataFrame:
-    """Adds ``errors``: what a row breaks of its contract. Good rows have none; the others go to quarantine, so none is lost."""
-    checks = []
+    """The declared columns in their types, and ``errors``: what a row breaks of its contract.
+
+    A value that is none of its type, a null where none may be, and a value
+    that is not allowed are errors; the first two exclude each other. Good rows
+    have no error; the others go to quarantine with the values they came with,
+    so none is lost. A column that is missing counts as null.
+    """
+    checks, out = [], []
     for f in fields:
-        c = F.col(f"`{f.name}`")
+        raw = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast("string")
+        read = typed(raw, SPARK_TYPES[f.dtype])
+        checks.append(F.when(raw.isNotNull() & read.isNull(), f"{f.name}: not {f.dtype}"))
         if not f.may_be_null:
-            checks.append(F.when(c.isNull(), f"{f.name}: null"))
+            checks.append(F.when(raw.isNull(), f"{f.name}: null"))
         if f.allowed:
-            checks.append(F.when(c.isNotNull() & ~c.isin(*f.allowed), f"{f.name}: not allowed"))
-    return df.withColumn("errors", F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"))
+            checks.append(F.when(raw.isNotNull() & ~raw.cast("string").isin(*map(str, f.allowed)), f"{f.name}: not allowed"))
+        out.append(F.struct(read.alias("value"), raw.cast("string").alias("raw")).alias(f.name))
+    return df.select(*out, F.array_compact(F.array(*checks)).alias("errors"))
+
+
+def conformed(df: DataFrame, fields: list[Field], mapping: dict[str, dict]) -> DataFrame:
+    """A table mapped to its declared columns and held to them, as :func:`enforce` gives it."""
+    return enforce(df.select(*[_mapped(df, f, mapping.get(f.name, {})).alias(f.name) for f in fields]), fields)
 
 
 def good(annotated: DataFrame) -> DataFrame:
-    return annotated.where(F.size("errors") == 0).drop("errors")
+    """The rows without errors, in their declared types."""
+    return annotated.where(F.size("errors") == 0).select(*[F.col(f"`{c}`.value").alias(c) for c in annotated.columns if c != "errors"])
 
 
 def quarantine(annotated: DataFrame) -> DataFrame:
+    """The rows with errors, as text, and their errors as a JSON document."""
     bad = annotated.where(F.size("errors") > 0)
-    return bad.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in annotated.columns if c != "errors"], F.array_join("errors", "; ").alias("errors"))
+    return bad.select(*[F.col(f"`{c}`.raw").alias(c) for c in annotated.columns if c != "errors"], F.to_json(F.struct("errors")).alias("errors"))

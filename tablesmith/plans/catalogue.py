@@ -207,12 +207,36 @@ def map_project(spark, sf):
 
 @query("SELECT o_orderkey AS order_id, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('O', 'F')")
 def enforce_good(spark, sf):
-    return Q.good(Q.enforce(Q.apply_mapping(t(spark, sf, "orders"), _ORDER, _MAPPING), _ORDER)).select("order_id", "status")
+    return Q.good(Q.conformed(t(spark, sf, "orders"), _ORDER, _MAPPING)).select("order_id", "status")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS order_id, 'status: not allowed' AS errors FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS order_id, '{"errors":["status: not allowed"]}' AS errors FROM orders WHERE o_orderstatus NOT IN ('O', 'F')""")
 def enforce_quarantine(spark, sf):
-    return Q.quarantine(Q.enforce(Q.apply_mapping(t(spark, sf, "orders"), _ORDER, _MAPPING), _ORDER)).select("order_id", "errors")
+    return Q.quarantine(Q.conformed(t(spark, sf, "orders"), _ORDER, _MAPPING)).select("order_id", "errors")
+
+
+_EVENT = [Q.Field("event_id", "int", True), Q.Field("amount", "int"), Q.Field("kind", "bool", True)]
+_EVENT_MAPPING = {"event_id": {"source": "event_id"}, "amount": {"source": "value"}, "kind": {"source": "kind"}}
+_EVENT_ROWS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'x' || event_id WHEN 1 THEN event_id || '.5' WHEN 2 THEN NULL ELSE event_id || '.0' END AS value, CASE event_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN '0' ELSE 'maybe' END AS kind FROM events"
+
+
+def _events_to_hold(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as text: integers, fractions, words and nulls in one column, words that are no booleans in another."""
+    i = F.col("event_id")
+    value = F.when(i % 5 == 0, F.concat(F.lit("x"), i)).when(i % 5 == 1, F.concat(i, F.lit(".5"))).when(i % 5 > 2, F.concat(i, F.lit(".0")))
+    kind = F.when(i % 3 == 0, "Yes").when(i % 3 == 1, "0").otherwise("maybe")
+    return t(spark, sf, "events").select("event_id", value.alias("value"), kind.alias("kind"))
+
+
+@query(f"SELECT event_id, coalesce(CAST(CAST(value AS DOUBLE) AS BIGINT), -1) AS amount, kind = 'Yes' AS kind FROM ({_EVENT_ROWS}) WHERE event_id % 5 >= 2 AND kind <> 'maybe'")
+def enforce_types_good(spark, sf):
+    return Q.good(Q.conformed(_events_to_hold(spark, sf), _EVENT, _EVENT_MAPPING)).withColumn("amount", F.coalesce("amount", F.lit(-1)))
+
+
+@query(f"""SELECT CAST(event_id AS VARCHAR) AS event_id, value AS amount, kind, '{{"errors":[' || CASE WHEN event_id % 5 < 2 THEN '"amount: not int"' ELSE '' END || CASE WHEN event_id % 5 < 2 AND kind = 'maybe' THEN ',' ELSE '' END || CASE WHEN kind = 'maybe' THEN '"kind: not bool"' ELSE '' END || ']}}' AS errors FROM ({_EVENT_ROWS}) WHERE event_id % 5 < 2 OR kind = 'maybe'""")
+def enforce_types_quarantine(spark, sf):
+    """What a cast cannot take goes to quarantine as it came, with its errors."""
+    return Q.quarantine(Q.conformed(_events_to_hold(spark, sf), _EVENT, _EVENT_MAPPING))
 
 
 @query("SELECT o_orderkey, 'open' AS src, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'rest', o_orderpriority FROM orders WHERE o_orderstatus <> 'O'")

@@ -1,3 +1,4 @@
+import json
 import io
 import zipfile
 
@@ -76,10 +77,24 @@ def test_archives(spark, tmp_path):
 def test_enforce_loses_no_row(spark):
     df = spark.createDataFrame([("s1", "1.5", "a"), (None, "2", "b"), ("s3", "x", "z")], "id string, x string, kind string")
     fields = [quality.Field("id", "str", True), quality.Field("x", "float", True), quality.Field("kind", "str", False, None, ("a", "b")), quality.Field("n", "int")]
-    out = quality.enforce(quality.apply_mapping(df, fields, {k: {"source": k} for k in ("id", "x", "kind")}), fields)
+    out = quality.conformed(df, fields, {k: {"source": k} for k in ("id", "x", "kind")})
     good, bad = quality.good(out).collect(), quality.quarantine(out).collect()
-    assert [r.id for r in good] == ["s1"] and len(bad) == 2
-    assert {r.errors for r in bad} == {"id: null", "x: null; kind: not allowed"}
+    assert [(r.id, r.x) for r in good] == [("s1", 1.5)] and len(bad) == 2
+    assert {(r.x, *json.loads(r.errors)["errors"]) for r in bad} == {("2", "id: null"), ("x", "x: not float", "kind: not allowed")}
+
+
+def test_enforce_takes_no_fraction_for_an_integer(spark):
+    df = spark.createDataFrame([("1",), ("1.5",), ("x",), (None,), ("2.0",), (" 3 ",), ("12345678901",), ("1e30",)], "v string")
+    nullable = [quality.Field("n", "int")]
+    out = quality.conformed(df, nullable, {"n": {"source": "v"}})
+    assert [r.n for r in quality.good(out).collect()] == [1, None, 2, 3, 12345678901]
+    assert [r.n for r in quality.quarantine(out).collect()] == ["1.5", "x", "1e30"]
+    big = spark.createDataFrame([(2.0e7,), (0.5,), (None,)], "v double")
+    held = quality.conformed(big, [quality.Field("n", "int", True)], {"n": {"source": "v"}})
+    assert [r.n for r in quality.good(held).collect()] == [20_000_000] and quality.quarantine(held).count() == 2
+    scaled = quality.conformed(df.where("v in ('1', 'x')"), [quality.Field("n", "float")], {"n": {"source": "v", "scale": 2.5}})
+    assert [r.n for r in quality.good(scaled).collect()] == [2.5] and [r.n for r in quality.quarantine(scaled).collect()] == ["x"]
+    assert quality.good(quality.conformed(df, [quality.Field("b", "bool"), quality.Field("c", "str")], {"c": {"const": "k"}})).distinct().collect() == [(None, "k")]
 
 
 def test_drift(spark):
