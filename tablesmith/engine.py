@@ -56,7 +56,7 @@ class Engine:
         """Reads new files below ``path``; each table is typed, scored, compared with known schemas and written."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         files = files.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
-        found = routing.described(routing.expand_archives(files)).dropDuplicates(["content_hash"])
+        found = routing.distinct_contents(routing.described(routing.expand_archives(files))).drop("copies")
         known = self.catalog.current("documents").where(F.col("project") == self.project)
         new = routing.not_seen(found, known, force).withColumn("doc_id", F.substring(F.sha2(F.concat_ws("|", F.lit(self.project), "content_hash"), 256), 1, 12))
         as_table = (F.col("doc_type") == "txt") & _is_table_text("content")
@@ -91,7 +91,8 @@ class Engine:
         prose = new.where("doc_type = 'txt'").select("doc_id", _decoded("content").alias("text"))
         parts = text.chunks(prose).select("doc_id", F.concat(F.lit("chunk "), F.col("chunk_no").cast("string")).alias("loc"), F.col("chunk").alias("text"))
         office = ooxml.office_chunks(new.where("doc_type = 'office'")).join(new.select("path", "doc_id"), "path").select("doc_id", "loc", F.col("chunk").alias("text"))
-        every = parts.unionByName(office).withColumn("project", F.lit(self.project))
+        beside = delimited.texts_beside(new.where("doc_type = 'csv'")).join(new.select("path", "doc_id"), "path").select("doc_id", "loc", F.col("chunk").alias("text"))
+        every = parts.unionByName(office).unionByName(beside).withColumn("project", F.lit(self.project))
         self.catalog.append_frame("chunks", every.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws("|", "doc_id", "loc", F.substring("text", 1, 64)), 256), 1, 12)))
 
     def _table(self, doc, t, rows: DataFrame, report: Report) -> None:
@@ -156,7 +157,7 @@ class Engine:
 
     def sql_session(self) -> SqlSession:
         s = SqlSession(self.spark)
-        for t in self.tables().collect():
+        for t in self.tables().orderBy("name", "table_id").collect():
             s.register(t["name"], self.spark.read.parquet(t["path"]))
         for target, paths in self._canonical_paths().items():
             s.register(f"canonical_{target}", M.canonical_view(self.spark, paths))
@@ -179,13 +180,14 @@ class Engine:
     def propose(self, targets: dict[str, M.Target]) -> list[dict]:
         """Proposals, without a model, for the schemas that have none yet; what fits no target is remembered as such."""
         log, out = self.catalog.log("mappings"), []
+        versions = {(r["fingerprint"], r["target"]): r["v"] for r in log.groupBy("fingerprint", "target").agg(F.max("version").alias("v")).collect()}
         fresh = {r["fingerprint"] for r in M.without_proposal(log, self.catalog.current("schemas").select(F.col("schema_id").alias("fingerprint"))).collect()}
         for s in self.catalog.current("schemas").collect():
             if s["schema_id"] not in fresh:
                 continue
             p = M.proposed([c["name"] for c in s["columns"]], targets)
-            row = {"fingerprint": s["schema_id"], "target": p["target"] if p else None, "version": 1, "status": "proposed" if p else "no_match", "mapping": json.dumps(p["mapping"]) if p else None, "confidence": p["confidence"] if p else 0.0}
-            out.append(row | {"mapping_id": hashlib.sha256(f"{row['fingerprint']}|{row['target']}|1".encode()).hexdigest()[:12]})
+            row = {"fingerprint": s["schema_id"], "target": p["target"] if p else None, "version": versions.get((s["schema_id"], p["target"] if p else None), 0) + 1, "status": "proposed" if p else "no_match", "mapping": json.dumps(p["mapping"]) if p else None, "confidence": p["confidence"] if p else 0.0}
+            out.append(row | {"mapping_id": hashlib.sha256(f"{row['fingerprint']}|{row['target']}|{row['version']}".encode()).hexdigest()[:12]})
         self.catalog.append("mappings", out)
         return out
 
@@ -232,7 +234,7 @@ class Engine:
         """(markdown, document): what the project holds, for a reader or a model."""
         tables, links = self.tables().collect(), self.links().collect()
         doc = {"project": self.project, "tables": [{"name": t["name"], "rows": t["n_rows"], "columns": [f"{c['name']} {c['dtype']}" for c in t["columns"]], "confidence": t["confidence"], "review": t["needs_review"]} for t in tables], "links": [{"from": f"{x['src_table']}.{x['src_col']}", "to": f"{x['dst_table']}.{x['dst_col']}", "kind": x["kind"], "confidence": x["confidence"]} for x in links]}
-        doc["joins"] = [f"SELECT * FROM {view_name(x['src_table'])} a JOIN {view_name(x['dst_table'])} b ON a.{x['src_col']} = b.{x['dst_col']}" for x in links if x["kind"] == "JOINABLE"][:8]
+        doc["joins"] = [memory.join_query(view_name(x["src_table"]), x["src_col"], view_name(x["dst_table"]), x["dst_col"]) for x in links if x["kind"] == "JOINABLE"][:8]
         lines = [f"# {self.project}", "", "## Tables", ""]
         lines += [f"- `{t['name']}` ({t['rows']} rows, confidence {t['confidence']}{', to review' if t['review'] else ''}): {', '.join(t['columns'])}" for t in doc["tables"]]
         lines += ["", "## Links", "", *[f"- {x['from']} ~ {x['to']} {x['kind']} {x['confidence']}" for x in doc["links"]], "", "## Joins", "", *[f"- `{j}`" for j in doc["joins"]]]

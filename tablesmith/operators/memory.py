@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 SCHEMA_JACCARD, VALUE_JACCARD, NAME_RATIO = 0.6, 0.30, 0.78
 MIN_UNIQUENESS, SAMPLE_VALUES = 0.15, 300
 
@@ -24,13 +26,17 @@ def similar_schemas(schemas: DataFrame, least: float = SCHEMA_JACCARD) -> DataFr
 
 
 def column_values(table: str, df: DataFrame, columns: list[str], sample: int | None = SAMPLE_VALUES) -> DataFrame:
-    """(tbl, col, v): the distinct values of key-like columns; of the first ``sample`` in column order, or all of them."""
+    """(tbl, col, v): the distinct values of key-like columns; the ``sample`` values of least hash, or all of them.
+
+    The least hashes of two columns are the least of their union, so the share
+    that they have in common estimates the likeness of the whole columns.
+    """
     pair = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in columns])
     long = df.select(F.inline(pair)).where("v is not null")
     keys = long.groupBy("col").agg((F.count_distinct("v") / F.count("*")).alias("u")).where(F.col("u") >= MIN_UNIQUENESS)
     vals = long.join(keys, "col", "left_semi").select(F.lit(table).alias("tbl"), "col", F.lower(F.trim("v")).alias("v")).distinct()
     if sample is not None:
-        vals = vals.withColumn("_k", F.row_number().over(Window.partitionBy("col").orderBy("v"))).where(F.col("_k") <= sample).drop("_k")
+        vals = vals.withColumn("_k", F.row_number().over(Window.partitionBy("col").orderBy(F.xxhash64("v"), "v"))).where(F.col("_k") <= sample).drop("_k")
     return vals
 
 
@@ -46,6 +52,11 @@ def value_links(values: DataFrame, least: float = VALUE_JACCARD) -> DataFrame:
     return j.select("src_table", "src_col", "dst_table", "dst_col", "overlap")
 
 
+def join_query(src_table: str, src_col: str, dst_table: str, dst_col: str) -> str:
+    """The join that a link suggests, as a query of the guarded session."""
+    return f"SELECT * FROM {src_table} a JOIN {dst_table} b ON a.{src_col} = b.{dst_col}"
+
+
 def name_ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio; it depends on the order of its arguments."""
     return SequenceMatcher(None, a, b).ratio()
@@ -67,14 +78,22 @@ def families(members: DataFrame) -> DataFrame:
     return members.groupBy("schema_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("tables")).where("n > 1")
 
 
-def closure(edges: DataFrame, source: str, target: str, max_depth: int = 100) -> DataFrame:
-    """(src, dst, depth) of all paths of a lineage graph by Spark's recursive query; depth is the shortest."""
-    edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).distinct().createOrReplaceTempView("_closure_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE r(src, dst, depth) AS (
-          SELECT src, dst, 1 FROM _closure_edges
-          UNION ALL SELECT r.src, e.dst, r.depth + 1 FROM r JOIN _closure_edges e ON r.dst = e.src WHERE r.depth < {max_depth}
-        ) SELECT src, dst, min(depth) AS depth FROM r GROUP BY src, dst""")
+def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(src, dst, depth) of all that a lineage graph connects, at any depth, cycles too; depth is the length of the shortest path.
+
+    Each round extends only the pairs that the round before found, and keeps
+    those not known yet, so a pair is met once whatever the number of its paths.
+    """
+    one = durable(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).where("src is not null and dst is not null").distinct())
+    known, fresh, depth = [one.withColumn("depth", F.lit(1))], one, 1
+    step = one.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+    while fresh.limit(1).count():
+        depth += 1
+        met = fresh.join(step, "dst").select("src", F.col("far").alias("dst")).distinct()
+        seen = reduce(DataFrame.unionByName, known).select("src", "dst")
+        fresh = durable(met.join(seen, ["src", "dst"], "left_anti"))
+        known.append(fresh.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, known)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -23,9 +23,15 @@ def triage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, n_lines, alpha_ratio, prefix_share, kind): records if letters are few or one two-character line start is in over half of the first lines, else prose."""
     head = F.slice(lines(F.coalesce(F.col(text_col), F.lit(""))), 1, HEAD_LINES)
     base = docs.select(F.col(id_col).alias("doc_id"), head.alias("head")).withColumn("n_lines", F.size("head")).withColumn("alpha_ratio", F.round(alpha_ratio(F.array_join("head", "\n")), 6))
-    starts = base.select("doc_id", F.explode("head").alias("line")).groupBy("doc_id", F.substring("line", 1, 2).alias("start")).count()
-    most = starts.groupBy("doc_id").agg(F.max("count").alias("most"))
-    out = base.join(most, "doc_id", "left").withColumn("prefix_share", F.round(F.when(F.col("n_lines") > 0, F.coalesce("most", F.lit(0)) / F.col("n_lines")).otherwise(0.0), 6))
+    starts = F.array_sort(F.transform("head", lambda x: F.substring(x, 1, 2)))
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def count(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    most = F.aggregate(starts, zero, count, lambda acc: acc["most"])
+    out = base.withColumn("prefix_share", F.round(F.when(F.col("n_lines") > 0, most / F.col("n_lines")).otherwise(0.0), 6))
     records = (F.col("alpha_ratio") < 0.7) | (F.col("prefix_share") > 0.5)
     return out.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), "alpha_ratio", "prefix_share", F.when(records, "records").otherwise("prose").alias("kind"))
 

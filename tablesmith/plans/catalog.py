@@ -26,6 +26,27 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
 STAMP = "at bigint, seq int, gone boolean"
 
 
+def usage_totals(log: DataFrame) -> DataFrame:
+    """(entity_kind, entity_id, uses, last_used) of a usage log (entity_kind, entity_id, n, at)."""
+    return log.groupBy("entity_kind", "entity_id").agg(F.sum("n").alias("uses"), F.max("at").alias("last_used"))
+
+
+def usage_display(totals: DataFrame, names: dict[str, DataFrame]) -> DataFrame:
+    """``totals`` with ``display``: the name that its kind's relation (id, name) of ``names`` has for the entity, else the id itself."""
+    out, found = totals, []
+    for i, (kind, known) in enumerate(sorted(names.items())):
+        k = known.select(F.lit(kind).alias(f"kind{i}"), F.col("id").cast("string").alias(f"id{i}"), F.col("name").alias(f"name{i}"))
+        out = out.join(k, (F.col("entity_kind") == F.col(f"kind{i}")) & (F.col("entity_id") == F.col(f"id{i}")), "left")
+        found.append(f"name{i}")
+    return out.select(*totals.columns, F.coalesce(*found, "entity_id").alias("display"))
+
+
+def sources_of(tables: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(table_id, input_kind, input_id): what each table was extracted from."""
+    edge = lineage.where("output_kind = 'table' AND relation = 'extracted_from'").select(F.col("output_id").alias("table_id"), "input_kind", "input_id")
+    return tables.select("table_id").join(edge, "table_id")
+
+
 class Catalog:
     """Appends never rewrite a file, so a lost writer leaves what was there; a deletion is a row that says so."""
 
@@ -95,7 +116,27 @@ class Catalog:
 
     def uses(self) -> DataFrame:
         """(entity_kind, entity_id, uses, last_used)."""
-        return self.current("usage").groupBy("entity_kind", "entity_id").agg(F.sum("n").alias("uses"), F.max("at").alias("last_used"))
+        return usage_totals(self.current("usage"))
+
+    def top_uses(self, k: int = 15) -> DataFrame:
+        """The most used entities with their names (a top-k report)."""
+        names = {"table": self.current("tables").select(F.col("table_id").alias("id"), "name"), "document": self.current("documents").select(F.col("doc_id").alias("id"), F.col("filename").alias("name")), "canonical": self.current("canonicals").select(F.col("canonical_id").alias("id"), F.col("target").alias("name"))}
+        return usage_display(self.uses(), names).orderBy(F.desc("uses"), "entity_kind", "entity_id").limit(k)
+
+    def projects(self) -> DataFrame:
+        """(project) of all documents."""
+        return self.current("documents").select("project").distinct()
+
+    def set_document_meta(self, doc_id: str, meta: str) -> None:
+        """A new version of the document with another ``meta``; ValueError if there is none."""
+        d = self.one("documents", doc_id=doc_id)
+        if d is None:
+            raise ValueError(f"no document {doc_id}")
+        self.append("documents", [{k: v for k, v in d.asDict().items() if k != "at"} | {"meta": meta}])
+
+    def canonical_totals(self) -> DataFrame:
+        """(target, n_rows, sources): the canonical rows of each target and the tables they came from."""
+        return self.current("canonicals").groupBy("target").agg(F.sum("n_rows").alias("n_rows"), F.array_sort(F.collect_set("table_id")).alias("sources"))
 
     def seen(self) -> DataFrame:
         """(schema_id, seen_count, first_seen, last_seen)."""

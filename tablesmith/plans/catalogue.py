@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -12,6 +13,9 @@ from ..functions import infer
 from ..operators import memory as M
 from ..operators import quality as Q
 from ..operators import text as X
+from ..sources import delimited, routing
+from .catalog import sources_of, usage_totals
+from .catalog import usage_display as displayed
 from .guarded import SqlSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,23 +37,32 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, substr(sha256('p|' || sha256(text)), 1, 12) AS short_id FROM documents")
+def _document_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as files (path, content)."""
+    return t(spark, sf, "documents").select(F.format_string("d/%012d.txt", "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+def _doc_id() -> Column:
+    return F.regexp_extract("path", "([0-9]+)", 1).cast("bigint")
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, substr(sha256('p|' || sha256(text)), 1, 12) AS short_id, 'txt' AS doc_type FROM documents")
 def content_hash(spark, sf):
-    h = F.sha2("text", 256)
-    return t(spark, sf, "documents").select("doc_id", h.alias("content_hash"), C.short_id(F.lit("p"), h).alias("short_id"))
+    files = routing.described(_document_files(spark, sf))
+    return files.select(_doc_id().alias("doc_id"), "content_hash", C.short_id(F.lit("p"), F.col("content_hash")).alias("short_id"), "doc_type")
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
 def dedup_by_hash(spark, sf):
-    return t(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    return routing.distinct_contents(routing.described(_document_files(spark, sf))).select("content_hash", _doc_id().alias("first_id"), "copies")
 
 
-@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))")
+@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE quality = 1)")
 def incremental_skip(spark, sf):
-    """Documents whose text is not among the labelled ones."""
-    docs = t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    seen = docs.join(t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("h")
-    return docs.join(seen, "h", "left_anti").select("doc_id")
+    """Documents whose text is not among the ingested ones: labelled documents of quality 1 count as ingested, the others as failed."""
+    docs, labels = routing.described(_document_files(spark, sf)), t(spark, sf, "labels")
+    seen = docs.withColumn("doc_id", _doc_id()).join(labels, "doc_id").select("content_hash", F.when(F.col("quality") == 1, "ingested").otherwise("failed").alias("status"))
+    return routing.not_seen(docs, seen).select(_doc_id().alias("doc_id"))
 
 
 @query(r"""
@@ -63,7 +76,12 @@ def text_triage(spark, sf):
     return X.triage(t(spark, sf, "documents"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ps FROM documents),
+r AS (SELECT doc_id, 1 AS i, 0 AS no, ps[1] AS buf FROM l WHERE len(ps) > 0
+  UNION ALL SELECT r.doc_id, i + 1, CASE WHEN length(buf) + 1 + length(ps[i + 1]) <= 2500 THEN no ELSE no + 1 END, CASE WHEN length(buf) + 1 + length(ps[i + 1]) <= 2500 THEN buf || chr(10) || ps[i + 1] ELSE ps[i + 1] END
+  FROM r JOIN l ON l.doc_id = r.doc_id WHERE i < len(ps))
+SELECT doc_id, CAST(no AS INTEGER) AS chunk_no, arg_max(buf, i) AS chunk FROM r WHERE no < 60 GROUP BY doc_id, no""")
 def chunk_text(spark, sf):
     return X.chunks(t(spark, sf, "documents"), separator="\n")
 
@@ -90,12 +108,15 @@ def modal_width(spark, sf):
     return X.modal_width(t(spark, sf, "documents"))
 
 
-@query("SELECT doc_id, count(*) AS block_lines, CAST(blk AS BIGINT) AS block FROM (SELECT doc_id, pos, line, sum(CASE WHEN length(line) < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS blk FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE length(line) >= 20 GROUP BY doc_id, blk")
+@query(r"""
+WITH f AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\. ', chr(10) || chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\. ', chr(10) || chr(10), 'g'), chr(10)), 1) AS pos FROM documents),
+g AS (SELECT *, trim(line, ' ;,|' || chr(9) || chr(13)) = '' AS gap FROM f), b AS (SELECT *, sum(CAST(gap AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM g)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS run, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM b WHERE NOT gap GROUP BY doc_id, k""")
 def block_split(spark, sf):
-    """Gaps and islands: runs of lines between short ones."""
-    rows = t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    gap = F.sum(F.when(F.length("line") < 20, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("pos"))
-    return rows.withColumn("block", gap).where(F.length("line") >= 20).groupBy("doc_id", "block").agg(F.count("*").alias("block_lines"))
+    """The runs of lines between blank ones, of documents with a blank line after each sentence."""
+    files = _document_files(spark, sf).withColumn("content", F.regexp_replace(F.col("content").cast("string"), r"\. ", "\n\n").cast("binary"))
+    runs = delimited.line_runs(files)
+    return runs.select(_doc_id().alias("doc_id"), "run", F.size("lines").alias("n_lines"), F.length(F.array_join("lines", "")).cast("bigint").alias("chars"))
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderdate, o_custkey FROM orders")
@@ -124,55 +145,71 @@ def contract_stats(spark, sf):
     return Q.contracts(Q.profile(t(spark, sf, "customer"))).withColumns({"lo": F.round("lo", 4), "hi": F.round("hi", 4)})
 
 
-@query("""WITH a AS (SELECT * FROM lineitem WHERE l_quantity <= 10), b AS (SELECT * FROM lineitem WHERE l_quantity > 10),
-k AS (SELECT 'l_quantity' AS c, min(l_quantity) AS lo, max(l_quantity) AS hi FROM a UNION ALL SELECT 'l_discount', min(l_discount), max(l_discount) FROM a UNION ALL SELECT 'l_tax', min(l_tax), max(l_tax) FROM a),
-p AS (SELECT 'l_quantity' AS c, min(l_quantity) AS lo, max(l_quantity) AS hi FROM b UNION ALL SELECT 'l_discount', min(l_discount), max(l_discount) FROM b UNION ALL SELECT 'l_tax', min(l_tax), max(l_tax) FROM b)
-SELECT p.c AS "column", 'out_of_range' AS issue FROM p JOIN k ON p.c = k.c WHERE p.lo < k.lo - 0.5 * (k.hi - k.lo) OR p.hi > k.hi + 0.5 * (k.hi - k.lo)""")
+@query("""WITH k AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_quantity <= 10), p AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_quantity > 10)
+SELECT 'l_quantity' AS "column", 'out_of_range' AS issue FROM p, k WHERE p.lo < k.lo - 0.5 * (k.hi - k.lo) OR p.hi > k.hi + 0.5 * (k.hi - k.lo)
+UNION ALL SELECT 'l_discount', 'null_ratio' FROM lineitem WHERE l_quantity > 10 HAVING count(*) FILTER (l_orderkey % 3 = 0) > 0.15 * count(*)
+UNION ALL VALUES ('l_tax', 'missing_column'), ('l_linenumber', 'dtype_changed'), ('l_suppkey', 'new_column')""")
 def drift_check(spark, sf):
-    li = t(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax")
-    return Q.drift(Q.profile(li.where("l_quantity > 10")), Q.contracts(Q.profile(li.where("l_quantity <= 10"))))
+    """Lines of small quantities as what is known, the others as a delivery with a column gone, one added, one of another type and one with nulls."""
+    li = t(spark, sf, "lineitem")
+    known = li.where("l_quantity <= 10").select("l_quantity", "l_discount", "l_tax", "l_linenumber")
+    new = li.where("l_quantity > 10").select("l_quantity", F.when(F.col("l_orderkey") % 3 != 0, F.col("l_discount")).alias("l_discount"), F.col("l_linenumber").cast("string").alias("l_linenumber"), "l_suppkey")
+    return Q.drift(Q.profile(new), Q.contracts(Q.profile(known)))
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_COLUMNS_SQL = f"SELECT table_name, column_name, data_type FROM information_schema.columns WHERE table_name IN {_TABLES}"
 
 
 def _schemas(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(n, [c.split("_", 1)[-1] for c in t(spark, sf, n).columns]) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "benchmark")]
+    rows = [(n, [c.split("_", 1)[-1] for c in t(spark, sf, n).columns]) for n in _TABLES]
     return spark.createDataFrame(rows, "schema_id string, names array<string>")
 
 
-@query("""WITH s(schema_id, name) AS (VALUES ('customer', 'custkey'), ('customer', 'name'), ('customer', 'nationkey'), ('customer', 'acctbal'), ('customer', 'mktsegment'), ('supplier', 'suppkey'), ('supplier', 'name'), ('supplier', 'nationkey'), ('supplier', 'acctbal'), ('nation', 'nationkey'), ('nation', 'name'), ('nation', 'regionkey')),
+@query(f"""WITH s AS (SELECT table_name AS schema_id, CASE WHEN strpos(column_name, '_') > 0 THEN substr(column_name, strpos(column_name, '_') + 1) ELSE column_name END AS name FROM ({_COLUMNS_SQL})),
 n AS (SELECT schema_id, count(*) AS n FROM s GROUP BY 1), m AS (SELECT a.schema_id AS a, b.schema_id AS b, count(*) AS c FROM s a JOIN s b ON a.name = b.name AND a.schema_id < b.schema_id GROUP BY 1, 2)
-SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM m JOIN n x ON x.schema_id = a JOIN n y ON y.schema_id = b WHERE c / (x.n + y.n - c) >= 0.4""")
+SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM m JOIN n x ON x.schema_id = a JOIN n y ON y.schema_id = b WHERE c / (x.n + y.n - c) >= 0.1""")
 def schema_similarity(spark, sf):
-    return M.similar_schemas(_schemas(spark, sf).where(F.col("schema_id").isin("customer", "supplier", "nation")), 0.4)
+    return M.similar_schemas(_schemas(spark, sf), 0.1)
 
 
-@query()
+@query(f"""SELECT table_name, substr(sha256(string_agg(part, '|' ORDER BY part)), 1, 16) AS fingerprint FROM (SELECT table_name, column_name || ':' || CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'int' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'float' WHEN data_type LIKE 'TIMESTAMP%' THEN 'date' ELSE 'str' END AS part FROM ({_COLUMNS_SQL})) GROUP BY 1""")
 def schema_fingerprint(spark, sf):
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
-    return spark.createDataFrame([(n, C.fingerprint(t(spark, sf, n).schema)) for n in names], "table_name string, fingerprint string")
-
-
-_LINK_COLUMNS = {"orders": ["o_custkey"], "customer": ["c_custkey", "c_nationkey"], "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"]}
-
-
-@query("""WITH v AS (
-SELECT 'orders' AS tbl, 'o_custkey' AS col, lower(trim(CAST(o_custkey AS VARCHAR))) AS v FROM orders WHERE o_custkey IS NOT NULL UNION ALL
-SELECT 'customer', 'c_custkey', CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT 'customer', 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer UNION ALL
-SELECT 'nation', 'n_nationkey', CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'nation', 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL
-SELECT 'region', 'r_regionkey', CAST(r_regionkey AS VARCHAR) FROM region),
-k AS (SELECT tbl, col FROM v GROUP BY 1, 2 HAVING count(DISTINCT v) / count(*) >= 0.15),
-d AS (SELECT DISTINCT v.* FROM v JOIN k USING (tbl, col)), s AS (SELECT tbl, col, count(*) AS n FROM d GROUP BY 1, 2),
+    return spark.createDataFrame([(n, C.fingerprint(t(spark, sf, n).schema)) for n in _TABLES], "table_name string, fingerprint string")
+
+
+_LINK_COLUMNS = {
+    "benchmark": ["item_id"],
+    "conversations": ["conv_id", "turn", "role"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "documents": ["doc_id", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "label"],
+    "events": ["event_id", "user_id", "event_type", "props"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "pages": ["page_id", "url"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "region": ["r_regionkey", "r_name"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+}
+_VALUES_SQL = " UNION ALL ".join(f"SELECT '{n}' AS tbl, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {n} WHERE {c} IS NOT NULL" for n, cols in _LINK_COLUMNS.items() for c in cols)
+
+
+@query(f"""WITH v AS ({_VALUES_SQL}), k AS (SELECT tbl, col FROM v GROUP BY 1, 2 HAVING count(DISTINCT v) / count(*) >= 0.15),
+d AS (SELECT DISTINCT tbl, col, lower(trim(v)) AS v FROM v JOIN k USING (tbl, col)), s AS (SELECT tbl, col, count(*) AS n FROM d GROUP BY 1, 2),
 m AS (SELECT a.tbl AS src_table, a.col AS src_col, b.tbl AS dst_table, b.col AS dst_col, count(*) AS both_n FROM d a JOIN d b ON a.v = b.v AND a.tbl < b.tbl GROUP BY 1, 2, 3, 4)
 SELECT src_table, src_col, dst_table, dst_col, round(both_n / (x.n + y.n - both_n), 6) AS overlap FROM m JOIN s x ON x.tbl = src_table AND x.col = src_col JOIN s y ON y.tbl = dst_table AND y.col = dst_col WHERE round(both_n / (x.n + y.n - both_n), 6) >= 0.3""")
 def value_overlap_links(spark, sf):
-    from functools import reduce
-
+    """Over every key and text column of the catalogue but whole texts."""
     vals = [M.column_values(n, t(spark, sf, n), cols, sample=None) for n, cols in _LINK_COLUMNS.items()]
     return M.value_links(reduce(DataFrame.unionByName, vals))
 
 
 @query()
 def name_similarity_links(spark, sf):
-    cols = [(n, c) for n in ("customer", "nation", "orders", "region", "supplier") for c in t(spark, sf, n).columns]
+    cols = [(n, c) for n in _TABLES for c in t(spark, sf, n).columns]
     return spark.createDataFrame(M.name_links(cols, 0.7), "src_table string, src_col string, dst_table string, dst_col string, ratio double")
 
 
@@ -239,13 +276,6 @@ def enforce_types_quarantine(spark, sf):
     return Q.quarantine(Q.conformed(_events_to_hold(spark, sf), _EVENT, _EVENT_MAPPING))
 
 
-@query("SELECT o_orderkey, 'open' AS src, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'rest', o_orderpriority FROM orders WHERE o_orderstatus <> 'O'")
-def canonical_union(spark, sf):
-    o = t(spark, sf, "orders")
-    a = o.where("o_orderstatus = 'O'").select("o_orderkey", F.lit("open").alias("src"))
-    return a.unionByName(o.where("o_orderstatus <> 'O'").select("o_orderkey", F.lit("rest").alias("src"), "o_orderpriority"), allowMissingColumns=True)
-
-
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS schema_id, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS tables FROM nation GROUP BY 1 HAVING count(*) > 1")
 def schema_families(spark, sf):
     return M.families(t(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("schema_id"), F.col("n_name").alias("name")))
@@ -256,22 +286,32 @@ def mapping_latest(spark, sf):
     return M.latest(t(spark, sf, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
 
 
-@query("SELECT event_type AS entity, count(*) AS uses, max(ts) AS last_used FROM events GROUP BY 1")
+def _usage(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a usage log: an entity is the customer, the supplier or the part that has the user's number."""
+    kind = F.when(F.col("event_id") % 3 == 0, "customer").when(F.col("event_id") % 3 == 1, "supplier").otherwise("part")
+    return t(spark, sf, "events").select(kind.alias("entity_kind"), F.col("user_id").cast("string").alias("entity_id"), F.lit(1).cast("bigint").alias("n"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
+_USAGE_SQL = "SELECT CASE event_id % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'supplier' ELSE 'part' END AS entity_kind, CAST(user_id AS VARCHAR) AS entity_id, count(*) AS uses, epoch_us(max(ts)) AS last_used FROM events GROUP BY 1, 2"
+
+
+@query(_USAGE_SQL)
 def usage_counts(spark, sf):
-    return t(spark, sf, "events").groupBy(F.col("event_type").alias("entity")).agg(F.count("*").alias("uses"), F.max("ts").alias("last_used"))
+    return usage_totals(_usage(spark, sf))
 
 
-@query("SELECT u.user_id, coalesce(c_name, 'user ' || u.user_id) AS display, u.uses FROM (SELECT user_id, count(*) AS uses FROM events GROUP BY 1) u LEFT JOIN customer ON c_custkey = u.user_id")
+@query(f"""SELECT u.*, coalesce(c_name, s_name, p_name, entity_id) AS display FROM ({_USAGE_SQL}) u LEFT JOIN customer ON entity_kind = 'customer' AND CAST(c_custkey AS VARCHAR) = entity_id
+LEFT JOIN supplier ON entity_kind = 'supplier' AND CAST(s_suppkey AS VARCHAR) = entity_id LEFT JOIN part ON entity_kind = 'part' AND CAST(p_partkey AS VARCHAR) = entity_id""")
 def usage_display(spark, sf):
-    u = t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("uses"))
-    c = t(spark, sf, "customer").select("c_custkey", "c_name")
-    return u.join(c, u["user_id"] == c["c_custkey"], "left").select("user_id", F.coalesce("c_name", F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("display"), "uses")
+    names = {n: t(spark, sf, n).select(F.col(k).alias("id"), F.col(c).alias("name")) for n, k, c in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"))}
+    return displayed(usage_totals(_usage(spark, sf)), names)
 
 
-@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS table_id, 'part' AS input_kind, CAST(l_partkey AS VARCHAR) AS input_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'")
 def provenance_join(spark, sf):
-    o, li = t(spark, sf, "orders"), t(spark, sf, "lineitem")
-    return o.join(li, (o["o_orderkey"] == li["l_orderkey"]) & (li["l_returnflag"] == "R")).select("o_orderkey", "l_linenumber")
+    """Orders as tables, their lines as edges of lineage; returned ones are extractions."""
+    edges = t(spark, sf, "lineitem").select(F.lit("table").alias("output_kind"), F.col("l_orderkey").cast("string").alias("output_id"), F.when(F.col("l_returnflag") == "R", "extracted_from").otherwise("mapped_from").alias("relation"), F.lit("part").alias("input_kind"), F.col("l_partkey").cast("string").alias("input_id"))
+    return sources_of(t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("table_id")), edges)
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
@@ -297,14 +337,6 @@ def snapshot_diff(spark, sf):
     return M.snapshot_diff(old, new, "k", ["v"])
 
 
-@query()
-def openlineage_events(spark, sf):
-    o = t(spark, sf, "orders")
-    job = F.struct(F.lit("tablesmith").alias("namespace"), F.lit("orders").alias("name"))
-    run = F.struct(F.sha1(F.col("o_orderkey").cast("string")).alias("runId"))
-    return o.select("o_orderkey", F.to_json(F.struct(F.lit("COMPLETE").alias("eventType"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("eventTime"), run.alias("run"), job.alias("job"))).alias("event"))
-
-
 def sql_query(name: str, text: str, duck: str | None = None) -> None:
     """A query that a user would hand to the guarded session, with the same text for the oracle unless the dialects differ."""
 
@@ -326,7 +358,7 @@ sql_query("pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_qua
 sql_query("window_rank", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS rn, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS INT) AS dr FROM orders")
 sql_query("window_frame", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS avg3 FROM orders")
 sql_query("semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-sql_query("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sql_query("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 sql_query("theta_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql_query("unpivot_columns", "SELECT l_orderkey, l_linenumber, k, v FROM lineitem UNPIVOT (v FOR k IN (l_discount, l_tax))")
 sql_query("pivot_columns", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (round(sum(l_quantity), 2) FOR l_linestatus IN ('O' AS o, 'F' AS f))", "SELECT l_returnflag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 2) AS o, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 2) AS f FROM lineitem GROUP BY 1")
@@ -364,10 +396,13 @@ def event_windows(spark, sf):
     return event_counts(t(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SELECT c_mktsegment AS seg, n_name AS nation, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def suggested_join(spark, sf):
-    c, n, o = t(spark, sf, "customer"), t(spark, sf, "nation"), t(spark, sf, "orders")
-    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(o, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_mktsegment").alias("seg"), F.col("n_name").alias("nation")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """The join of a link between orders and customers, as a reader of the context would run it."""
+    s = SqlSession(spark)
+    for n in ("orders", "customer"):
+        s.register(n, t(spark, sf, n))
+    return s.run(M.join_query("orders", "o_custkey", "customer", "c_custkey"), rows=None).select("o_orderkey", "c_custkey", "c_name")
 
 
 def queries() -> dict[str, Query]:

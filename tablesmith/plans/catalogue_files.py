@@ -124,7 +124,13 @@ def layout_escalation(spark, sf):
     return pages.needs_layout(p, t(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id")))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE m AS (SELECT page_id AS doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<h[1-4][^>]*>', chr(10) || '# ', 'g'), '<[^>]*>', ' ', 'g'), '(?m)^(#{1,4} )', chr(1) || '\1', 'g'), chr(1)) AS ps FROM pages),
+r AS (SELECT doc_id, 1 AS i, 0 AS no, ps[1] AS buf FROM m
+  UNION ALL SELECT r.doc_id, i + 1, CASE WHEN length(buf) + length(ps[i + 1]) <= 2500 THEN no ELSE no + 1 END, CASE WHEN length(buf) + length(ps[i + 1]) <= 2500 THEN buf || ps[i + 1] ELSE ps[i + 1] END
+  FROM r JOIN m ON m.doc_id = r.doc_id WHERE i < len(ps)),
+c AS (SELECT doc_id, no, regexp_replace(arg_max(buf, i), '^\s+|\s+$', '', 'g') AS chunk FROM r GROUP BY doc_id, no)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS INTEGER) AS chunk_no, chunk FROM c WHERE chunk <> ''""")
 def markdown_chunks(spark, sf):
     """Pages with their headings in markdown."""
     md = F.regexp_replace(F.regexp_replace("html", "(?i)<h[1-4][^>]*>", "\n# "), "<[^>]*>", " ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tablesmith", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +14,15 @@ def session(app: str = "tablesmith", master: str | None = None, **conf: str) ->
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written where ``spark.checkpoint.dir`` says, its lineage cut; a local session without that setting gets a folder of its own."""
+    spark = df.sparkSession
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(path or "file:///tmp/checkpoints/tablesmith")
+    return df.checkpoint()

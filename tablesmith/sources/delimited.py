@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import itertools
+import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +20,33 @@ from ..functions.infer import infer_types
 
 DELIMITERS = ",;\t|"
 SAMPLE_CHARS = 64_000
+#: Share of high bytes from which a code page is sought, and those that are tried.
+HIGH_BYTES = 0.2
+CODE_PAGES = ("cp1252", "cp1251", "cp1253", "cp1250", "koi8-r", "cp1255", "cp1256")
 
 
 def decode(data: bytes) -> tuple[str, str]:
-    """(text, encoding): UTF-8 if valid, else cp1252, else latin-1."""
-    for name in ("utf-8-sig", "cp1252", "latin-1"):
+    """(text, encoding): by a byte order mark, UTF-8 if valid, UTF-16 by its zero bytes, then the code page that makes the likeliest letters.
+
+    Few high bytes mean cp1252; where they are dense, each code page is judged
+    by how many of its letters stand in words of one script and of plain case.
+    """
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if data.startswith(mark):
+            return data.decode(name, "replace"), name
+    try:
+        text = data.decode("utf-8")
+        if "\0" not in text:
+            return text, "utf-8-sig"
+    except UnicodeDecodeError:
+        pass
+    head = data[:SAMPLE_CHARS]
+    for k, name in ((1, "utf-16-le"), (0, "utf-16-be")):
+        if len(head) > 3 and head[k::2].count(0) > 0.4 * len(head[k::2]) and not head[1 - k :: 2].count(0):
+            return data.decode(name, "replace"), name
+    dense = sum(x > 127 for x in head) >= HIGH_BYTES * max(1, len(head))
+    names = max(CODE_PAGES, key=lambda n: (_likely(head.decode(n, "replace")), -CODE_PAGES.index(n))) if dense else "cp1252"
+    for name in (names, "latin-1"):
         try:
             return data.decode(name), name
         except UnicodeDecodeError:
@@ -28,6 +54,20 @@ def decode(data: bytes) -> tuple[str, str]:
     return data.decode("utf-8", "replace"), "utf-8"
 
 
+def _likely(text: str) -> float:
+    """The share of non-ASCII characters that are letters and go with the letter before: same script, and no capital after a small one."""
+    good = bad = 0
+    for a, b in itertools.pairwise(text):
+        if b < "\x80":
+            continue
+        if not b.isalpha():
+            bad += 1
+        elif a.isalpha():
+            same = unicodedata.name(a, "").split(" ")[0] == unicodedata.name(b, "").split(" ")[0]
+            good, bad = (good + 1, bad) if same and not (a.islower() and b.isupper()) else (good, bad + 1)
+    return good / max(1, good + bad)
+
+
 def delimiter(text: str) -> str:
     """The candidate whose count of fields is steadiest over the lines, the most fields on a tie; a comma if none splits."""
     lines = [x for x in text[:SAMPLE_CHARS].splitlines() if x.strip()][:400]
@@ -43,6 +83,12 @@ def delimiter(text: str) -> str:
     return best
 
 
+def quote(text: str, d: str) -> str:
+    """The sign that opens and closes most fields: a double quote unless single quotes do so more often."""
+    sides = {q: len(re.findall(rf"(?:^|{re.escape(d)})\s*{q}[^{q}\n]*{q}\s*(?={re.escape(d)}|$)", text[:SAMPLE_CHARS], re.M)) for q in "\"'"}
+    return "'" if sides["'"] > sides['"'] else '"'
+
+
 def looks_delimited(text: str, least: float = 0.7) -> bool:
     """Whether at least ``least`` of the first lines split into one same number of fields above one."""
     lines = [x for x in text[:SAMPLE_CHARS].splitlines() if x.strip()][:400]
@@ -64,18 +110,51 @@ class Block:
         return len(first) <= 8 and sum(x.endswith(":") for x in first) >= 0.6 * len(first)
 
 
+def runs(text: str) -> list[Block]:
+    """The runs of lines between blank ones; signs that only separate fields count as blank."""
+    out: list[Block] = []
+    for filled, lines in itertools.groupby(text.splitlines(), key=lambda x: bool(x.strip(" \t\r;,|"))):
+        if filled:
+            out.append(Block(len(out), list(lines)))
+    return out
+
+
+def sorted_blocks(text: str, d: str) -> tuple[list[Block], list[Block]]:
+    """(tables, texts): runs of one line, and preambles, are text; if all are, or there is one run, the whole is one table."""
+    found = runs(text)
+    tables = [b for b in found if len(b.lines) > 1 and not b.is_preamble(d)]
+    if len(found) > 1 and tables:
+        return tables, [b for b in found if b not in tables]
+    return ([Block(0, [x for b in found for x in b.lines])] if found else []), []
+
+
 def blocks(text: str, d: str) -> list[Block]:
     """The runs that can be tables; the whole text as one block if there is one run or none of them can."""
-    runs, cur = [], []
-    for line in [*text.splitlines(), ""]:
-        if line.strip(" \t\r;,|"):
-            cur.append(line)
-        elif cur:
-            runs.append(Block(len(runs), cur))
-            cur = []
-    if len(runs) > 1 and (tables := [b for b in runs if len(b.lines) > 1 and not b.is_preamble(d)]):
-        return tables
-    return [Block(0, [x for b in runs for x in b.lines])] if runs else []
+    return sorted_blocks(text, d)[0]
+
+
+def _by_file(files: DataFrame, schema: str, rows: Callable[[str, str], Iterator[tuple]]) -> DataFrame:
+    """Of (path, content): the rows that ``rows`` gives for each path and decoded text."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in frames:
+            for p, data in zip(pdf["path"], pdf["content"], strict=True):
+                yield pd.DataFrame(list(rows(p, decode(bytes(data or b""))[0])), columns=names)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def line_runs(files: DataFrame) -> DataFrame:
+    """(path, run, lines) of the runs of each file (path, content)."""
+    return _by_file(files, "path string, run int, lines array<string>", lambda p, text: ((p, b.no, b.lines) for b in runs(text)))
+
+
+def texts_beside(files: DataFrame) -> DataFrame:
+    """(path, loc, chunk) of what stands in delimited files beside their tables: titles and preambles, which are kept as text."""
+    return _by_file(files, "path string, loc string, chunk string", lambda p, text: ((p, f"block {b.no}", "\n".join(b.lines)) for b in sorted_blocks(text, delimiter(text))[1]))
 
 
 def repaired(rows: list[list[str]]) -> tuple[list[list[str | None]], int]:
@@ -118,8 +197,9 @@ def parsed(files: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
                     raise ValueError(f"{p} has {len(data)} bytes; at most {max_bytes} are read as one file")
                 text, encoding = decode(bytes(data))
                 d = delimiter(text)
+                q = quote(text, d)
                 for b in blocks(text, d):
-                    rows, bad = repaired(list(csv.reader(io.StringIO("\n".join(b.lines)), delimiter=d)))
+                    rows, bad = repaired(list(csv.reader(io.StringIO("\n".join(b.lines)), delimiter=d, quotechar=q)))
                     if not rows:
                         continue
                     if 2 * sum(map(is_number, rows[0])) > len(rows[0]):

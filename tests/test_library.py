@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from tablesmith.functions.columns import coarse_dtype, fingerprint, normalize_name, unique_names
 from tablesmith.functions.infer import infer_types
-from tablesmith.operators import memory, quality, text
+from tablesmith.operators import mapping, memory, quality, text
+from tablesmith.plans.catalog import Catalog, sources_of
 from tablesmith.plans.guarded import SqlSession, is_query
 from tablesmith.sources import delimited, routing
 
@@ -141,3 +142,100 @@ def test_guard(spark):
 
 def test_name_ratio_is_asymmetric():
     assert memory.name_ratio("tide", "diet") == 0.25 and memory.name_ratio("diet", "tide") == 0.5
+
+
+def test_guard_takes_only_queries_over_registered_tables(spark):
+    s = SqlSession(spark)
+    one = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert [s.register(n, one) for n in ("a/x", "a.x", "b")] == ["a_x", "a_x_2", "b"]
+    good = ["SELECT * FROM b", "WITH q AS (SELECT k FROM b) SELECT * FROM q JOIN a_x USING (k)", "SELECT k FROM b WHERE k IN (SELECT k FROM a_x_2) AND EXISTS (SELECT 1 FROM a_x)", "SELECT explode(array(1, 2)) AS e", "SELECT k, sum(k) OVER (ORDER BY k) FROM b", "SELECT * FROM range(3)", "VALUES (1)", "SELECT v, count(*) FROM b GROUP BY ALL HAVING count(*) > 0 ORDER BY 1 LIMIT 3", "SELECT 'drop table b; reflect(1)' AS t"]
+    for q in good:
+        s.run(q).collect()
+    bad = ["SELECT reflect('java.util.UUID', 'randomUUID')", "SELECT java_method('java.util.UUID', 'randomUUID')", "SELECT * FROM (SELECT try_reflect('java.util.UUID', 'randomUUID'))", "SELECT * FROM text.`/etc/hostname`", "SELECT k FROM b WHERE k = (SELECT max(value) FROM text.`/etc/hostname`)", "SELECT * FROM other", "WITH q AS (SELECT * FROM parquet.`/x`) SELECT * FROM q", "DROP VIEW b", "CREATE TABLE z AS SELECT 1", "INSERT INTO b VALUES (1, 'x')", "SET a = b", "SHOW TABLES", "DESCRIBE b", "CACHE TABLE b", "SELECT builtin.reflect('a', 'b')", "BEGIN SELECT 1; END"]
+    for q in bad:
+        with pytest.raises(Exception) as e:  # noqa: PT011
+            s.run(q)
+        assert isinstance(e.value, ValueError) or "PARSE" in str(e.value), q
+    assert s.touched("WITH b2 AS (SELECT * FROM b) SELECT * FROM b2") == {"b"}
+
+
+def test_closure_of_deep_and_cyclic_graphs(spark):
+    edges = [(i, i + 1) for i in range(7)] + [(10, 11), (11, 12), (12, 10), (20, 21), (20, 22), (21, 23), (22, 23), (None, 1)]
+    got = {(r.src, r.dst): r.depth for r in memory.closure(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()}
+    want = {}
+    for s in {a for a, _ in edges if a is not None}:
+        front, d = {s}, 0
+        while front:
+            d += 1
+            front = {b for a, b in edges if a in front and (s, b) not in want}
+            want |= {(s, b): d for b in front}
+    assert got == want and got[0, 7] == 7 and got[10, 10] == 3
+
+
+def test_targets_of_both_forms(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("name: sales\ncolumns:\n- {name: id, dtype: int, required: true}\n- {name: cur, allowed: [CHF, EUR], unit: money, description: the currency}\n")
+    (tmp_path / "b.yaml").write_text("{broken: [")
+    (tmp_path / "c.yml").write_text("kind: DataContract\nid: Big Orders\nversion: 2\nschema:\n- name: o\n  properties:\n  - {name: id, logicalType: integer, primaryKey: true, businessName: Number}\n  - {name: s, logicalType: string, required: true, quality: [{rule: validValues, validValues: [a, b]}], customProperties: [{property: unit, value: kg}]}\ncustomProperties: [{property: on_drift, value: freeze}]\n")
+    (tmp_path / "d.yml").write_text("name: old\nstatus: retired\ncolumns: [{name: x}]\n")
+    t = mapping.targets(tmp_path)
+    assert list(t) == ["sales", "big_orders"]
+    assert t["sales"].fields == (quality.Field("id", "int", True), quality.Field("cur", "str", False, None, ("CHF", "EUR"), "money", "the currency"))
+    big = t["big_orders"]
+    assert (big.version, big.on_drift, big.form) == ("2", "freeze", "odcs")
+    assert big.fields == (quality.Field("id", "int", True, True, (), "", "", "Number"), quality.Field("s", "str", True, False, ("a", "b"), "kg"))
+    assert mapping.target(mapping.contract_document(big)) == big
+    assert mapping.target({"name": "x"}) is None and mapping.target([1]) is None
+    p = mapping.sanitized({"mapping": {"id": "k", "s": {"source": "gone"}, "zz": "k", "cur": {"const": 1, "bad": 2}}, "confidence": 0.9}, t["sales"], ["k"])
+    assert p == {"target": "sales", "mapping": {"id": {"source": "k"}, "cur": {"const": 1}}, "confidence": 0.9}
+    assert mapping.sanitized({"mapping": {"cur": "k"}, "confidence": 0.9}, t["sales"], ["k"])["confidence"] == 0.4
+
+
+def test_file_types_by_content(spark):
+    packed = lambda **e: routing.as_zip({n: b"x" for n in e})
+    book, text = packed(**{"xl/workbook.xml": "x"}), "é" * 3000
+    files = {"a.bin": (book, "xlsx"), "b": (packed(**{"word/document.xml": "x"}), "office"), "c.zip": (packed(readme="x"), "archive"), "d.doc": (b"\xd0\xcf\x11\xe0..", "office"), "e.xls": (b"\xd0\xcf\x11\xe0..", "xls-legacy"), "f.mtx": (b"1", "visum-matrix"), "g.dbf": (b"1", "shapefile-part"), "h.DAT": (b"1", "txt"), "i": (text.encode(), "txt"), "j": (b"\xff\xfe\x00\x01", "unknown"), "k.exe": (b"abc", "unknown"), "l.tsv": (b"a", "csv"), "m.txt": (b"%PDF-1", "pdf"), "n.d/o": (b"plain", "txt")}
+    df = spark.createDataFrame([(p, bytearray(c)) for p, (c, _) in files.items()], "path string, content binary")
+    assert {r.path: r.doc_type for r in routing.described(df).collect()} == {p: k for p, (_, k) in files.items()}
+    assert {r.path for r in routing.expand_archives(df).collect()} == {*files} - {"c.zip"} | {"c.zip::readme"}
+
+
+def test_encodings():
+    russian, greek, german, polish = "Счёт за услуги; Москва; июнь", "Λογαριασμός; Αθήνα; Ιούνιος", "Zählung; Straße; Größe", "plain"
+    assert delimited.decode(german.encode("cp1252")) == (german, "cp1252")
+    assert delimited.decode(("\ufeff" + german).encode("utf-8"))[0] == german
+    for name in ("utf-16", "utf-16-le", "utf-16-be"):
+        assert delimited.decode((german * 4).encode(name))[0] == german * 4
+    assert delimited.decode((russian * 20).encode("cp1251")) == (russian * 20, "cp1251")
+    assert delimited.decode((russian * 20).encode("koi8-r")) == (russian * 20, "koi8-r")
+    assert delimited.decode((greek * 20).encode("cp1253")) == (greek * 20, "cp1253")
+    assert delimited.decode(b"") == ("", "utf-8-sig") and delimited.decode(polish.encode())[0] == polish
+
+
+def test_quotes_and_what_stands_beside_tables(spark):
+    assert delimited.quote("a;'b;c'\n'd';e\n", ";") == "'" and delimited.quote('a,"b, c"\n', ",") == '"' and delimited.quote("it's,that's\n", ",") == '"'
+    body = "Yearly report\n\nName:;North\nYear:;2020\n\nid;note\n1;'x;y'\n2;'z'\n"
+    files = spark.createDataFrame([("r.csv", bytearray(body.encode()))], "path string, content binary")
+    rows = delimited.parsed(files).orderBy("row_no").collect()
+    assert [list(r.cells) for r in rows] == [["1", "x;y"], ["2", "z"]] and rows[0].block == 2 and rows[0].header == ["id", "note"]
+    assert [(r.loc, r.chunk) for r in delimited.texts_beside(files).collect()] == [("block 0", "Yearly report"), ("block 1", "Name:;North\nYear:;2020")]
+
+
+def test_catalog_calls(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.append("documents", [{"doc_id": d, "project": p, "filename": f"{d}.csv", "status": "ingested"} for d, p in (("d1", "p"), ("d2", "p"), ("d3", "q"))])
+    c.append("tables", [{"table_id": "t1", "doc_id": "d1", "project": "p", "name": "sales"}])
+    c.append("canonicals", [{"canonical_id": f"c{i}", "target": "orders", "table_id": f"t{i}", "n_rows": i} for i in (1, 2)])
+    c.append("lineage", [{"output_kind": "table", "output_id": "t1", "relation": "extracted_from", "input_kind": "document", "input_id": "d1", "project": "p"}, {"output_kind": "canonical", "output_id": "c1", "relation": "mapped_from", "input_kind": "table", "input_id": "t1", "project": "p"}])
+    for kind, entity, n in (("table", "t1", 2), ("table", "t1", 1), ("document", "d2", 1), ("canonical", "c1", 5), ("other", "z", 1)):
+        c.use(kind, entity, n)
+    assert [(r.display, r.uses) for r in c.top_uses().collect()] == [("orders", 5), ("sales", 3), ("d2.csv", 1), ("z", 1)] and c.top_uses(2).count() == 2
+    assert {r.project for r in c.projects().collect()} == {"p", "q"}
+    assert [(r.target, r.n_rows, r.sources) for r in c.canonical_totals().collect()] == [("orders", 3, ["t1", "t2"])]
+    c.set_document_meta("d1", "{}")
+    assert c.one("documents", doc_id="d1").meta == "{}" and c.one("documents", doc_id="d1").filename == "d1.csv" and c.current("documents").count() == 3
+    with pytest.raises(ValueError):
+        c.set_document_meta("nope", "{}")
+    assert c.lineage_of("t1").count() == 2 and [tuple(r) for r in sources_of(c.current("tables"), c.current("lineage")).collect()] == [("t1", "document", "d1")]
+    c.delete("documents", c.current("documents").where("doc_id = 'd3'"))
+    c.forget_document("d1")
+    assert c.current("documents").count() == 2 and c.current("tables").count() == 0
