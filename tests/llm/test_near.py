@@ -2,7 +2,10 @@
 
 import random
 
-from tablesmith.llm import shingles
+from pyspark.sql import functions as F
+
+from tablesmith.llm import graph, shingles
+from tablesmith.llm.common import Scratch
 from tests.llm.test_corpus import frame
 
 
@@ -47,12 +50,58 @@ def test_near_copies_at_similarity(spark):
     assert got.columns == frame(spark, rows).columns and len(brute(rows)) < len(rows)
 
 
-def test_crowded_cells_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(shingles.links, "__defaults__", (2,))
-    rows = near_rows()
+def test_a_large_group_loses_no_link_and_pairs_few(spark):
+    """Copies of one text with one to thirty edits each: some are linked only by way of others, most not at all."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = [(1, " ".join(base))]
+    for c in range(160):
+        copy = list(base)
+        for at in r.sample(range(150), r.choice((1, 2, 4, 8, 15, 30))):
+            copy[at] = word()
+        rows.append((c + 2, " ".join(copy)))
     assert sorted((x.doc_id, x.text) for x in shingles.drop_near_copies(frame(spark, rows)).collect()) == brute(rows)
 
 
+def test_components_by_rounds_and_at_once(spark, monkeypatch):
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(-40, 40)] + [(1000, i) for i in range(1001, 1060)] + [(r.randrange(2000, 2200), r.randrange(2000, 2200)) for _ in range(90)] + [(5000, 5000)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[find(a)] = find(b)
+    want = {}
+    for x in list(root):
+        want.setdefault(find(x), set()).add(x)
+    for most in (0, 50, 1 << 14):
+        monkeypatch.setattr(graph, "LAST_EDGES", most)
+        got = {}
+        for x in graph.components(df, Scratch(spark, "t")).collect():
+            got.setdefault(x.root, set()).add(x.node)
+        assert {frozenset(s) for s in got.values()} == {frozenset(s) for s in want.values()} and all(k in s for k, s in got.items())
+    assert graph.components(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_sketches_bound_the_similarity(spark):
+    """No pair as similar as the threshold is dropped by its sketches, and many of the others are."""
+    sets = [shingles.shingle_set(t) for _, t in near_rows()[:70]]
+    rows = [(i, len(s), shingles.signature(s)[3]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i int, size int, sketch array<bigint>")
+    a, b = df.alias("a"), df.alias("b")
+    near = shingles.may_be_similar(F.col("a.size"), F.col("a.sketch"), F.col("b.size"), F.col("b.sketch"), 0.8)
+    left = {(x.i, x.j) for x in a.join(b, F.expr("a.i < b.i") & near).select("a.i", F.col("b.i").alias("j")).collect()}
+    real = {(i, j) for j in range(len(sets)) for i in range(j) if shingles.similarity(sets[i], sets[j]) >= 0.8}
+    assert real <= left and len(left) < len(real) + 0.1 * len(sets) ** 2 / 2
+
+
 def test_near_copies_tell_rows_apart(spark):
     a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
     rows = [(None, a), (None, b), (1, c), (2, c + " x"), (2, a + " x"), (3, ""), (4, None), (3, ""), (5, "one two"), (6, "One  two")]
