@@ -9,7 +9,6 @@ spend them. Only the patterns' sums reach the driver; their number is checked.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,9 +29,14 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
-def targets(sizes: dict[str | None, int], weights: dict[str | None, float], repeats: int = MAX_REPEATS) -> dict[str | None, float]:
-    """Each source's share by weight of the sum of ``sizes``, held to ``repeats`` times its size; the excess goes to the others by weight until none is above."""
-    total, out, open_ = float(sum(sizes.values())), {}, dict(weights)
+def targets(sizes: dict[str | None, int], weights: dict[str | None, float], repeats: int = MAX_REPEATS, total: int | None = None) -> dict[str | None, float]:
+    """Each source's share by weight of ``total``, held to ``repeats`` times its size; the excess goes to the others by weight until none is above.
+
+    ``total`` is the sum of ``sizes`` unless given: sources that overlap share
+    out the words that there are, each once. A weight for a source without
+    words gets nothing.
+    """
+    total, out, open_ = float(sum(sizes.values()) if total is None else total), {}, dict(weights)
     while open_:
         left, mass = total - sum(out.values()), sum(open_.values())
         full = [s for s, w in open_.items() if left * w / mass > repeats * sizes.get(s, 0)]
@@ -51,56 +55,92 @@ def cyclic_weights(sources: list[str | None], cycle: tuple[float, ...] = (1, 2,
 
 
 def min_cost_flow(supply: dict[int, int], members: dict[int, list], quota: dict, repeats: int = MAX_REPEATS) -> dict[int, int]:
-    """Words that each pattern gives, by successive shortest paths with potentials. Arc k of a pattern has its size as capacity and cost k."""
-    graph: list[list[int]] = [[], []]
-    to, cap, cost = [], [], []
-
-    def arc(u: int, v: int, c: int, w: int) -> None:
-        for a, b, x, y in ((u, v, c, w), (v, u, 0, -w)):
-            graph[a].append(len(to))
-            to.append(b)
-            cap.append(x)
-            cost.append(y)
-
-    def node() -> int:
-        graph.append([])
-        return len(graph) - 1
-
-    src = {s: node() for s in quota}
-    for s, q in quota.items():
-        arc(src[s], 1, q, 0)
-    first = {}
-    for p, size in supply.items():
-        at = node()
-        first[p] = len(to)
-        for k in range(repeats):
-            arc(0, at, size, k)
-        for s in members[p]:
-            arc(at, src[s], repeats * size, 0)
-    potential = [0] * len(graph)
-    while True:
-        dist, via, heap = {0: 0}, {}, [(0, 0)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > dist[u]:
+    """Words that each pattern gives: the largest flow to the quotas, at the least cost where the k-th pass over a pattern costs k a word.
+
+    A path's cost is that of its first arc, for every other arc is free. So the
+    passes are opened one after another, and after each the flow is made as
+    large as it can be, by blocking flows over shortest paths: the result is a
+    cheapest one of its value. A pattern without words or without a source with
+    a quota gives none. An empty supply gives an empty result.
+    """
+    patterns, sources = list(supply), list(quota)
+    place = {s: i for i, s in enumerate(sources)}
+    own = [[place[s] for s in members[p] if s in place] for p in patterns]
+    of: list[list[int]] = [[] for _ in sources]
+    for i, ss in enumerate(own):
+        for j in ss:
+            of[j].append(i)
+    room, sent = [0] * len(patterns), [0] * len(patterns)  # words that a pattern may still give, and gives
+    open_ = [int(quota[s]) for s in sources]
+    flow: dict[tuple[int, int], int] = {}
+    for _ in range(repeats):
+        for i, p in enumerate(patterns):
+            room[i] += supply[p]
+        while True:
+            # Levels: patterns with room, their sources, patterns that could leave those sources for others, and so on.
+            level_p, level_s = [0 if r > 0 and own[i] else -1 for i, r in enumerate(room)], [-1] * len(sources)
+            front, depth, found = [i for i, d in enumerate(level_p) if d == 0], 0, False
+            while front and not found:
+                reached = []
+                for i in front:
+                    for j in own[i]:
+                        if level_s[j] < 0:
+                            level_s[j] = depth + 1
+                            reached.append(j)
+                            found = found or open_[j] > 0
+                depth += 2
+                front = []
+                if not found:
+                    for j in reached:
+                        for i in of[j]:
+                            if level_p[i] < 0 and flow.get((i, j), 0) > 0:
+                                level_p[i] = depth
+                                front.append(i)
+            if not found:
+                break
+            at_p, at_s = [0] * len(patterns), [0] * len(sources)
+            for start in (i for i, d in enumerate(level_p) if d == 0):
+                while room[start] > 0 and (path := _path(start, own, of, level_p, level_s, at_p, at_s, open_, flow)):
+                    most = min([room[start], open_[path[-1]], *(flow[path[k + 1], path[k]] for k in range(1, len(path) - 1, 2))])
+                    for k in range(0, len(path), 2):
+                        flow[path[k], path[k + 1]] = flow.get((path[k], path[k + 1]), 0) + most
+                    for k in range(1, len(path) - 1, 2):
+                        flow[path[k + 1], path[k]] -= most
+                    room[start] -= most
+                    sent[start] += most
+                    open_[path[-1]] -= most
+    return dict(zip(patterns, sent, strict=True))
+
+
+def _path(start: int, own: list, of: list, level_p: list, level_s: list, at_p: list, at_s: list, open_: list, flow: dict) -> list[int] | None:
+    """Pattern, source, pattern, .. up to a source with an open quota, one level on each step; arcs that lead nowhere are not tried again."""
+    path = [start]
+    while path:
+        if len(path) % 2:
+            i = path[-1]
+            nxt = next((k for k in range(at_p[i], len(own[i])) if level_s[own[i][k]] == level_p[i] + 1), None)
+            if nxt is not None:
+                at_p[i] = nxt
+                path.append(own[i][nxt])
+                continue
+            at_p[i] = len(own[i])
+        else:
+            j = path[-1]
+            if open_[j] > 0:
+                return path
+            nxt = next((k for k in range(at_s[j], len(of[j])) if level_p[of[j][k]] == level_s[j] + 1 and flow.get((of[j][k], j), 0) > 0), None)
+            if nxt is not None:
+                at_s[j] = nxt
+                path.append(of[j][nxt])
                 continue
-            for e in graph[u]:
-                if cap[e] > 0 and (nd := d + cost[e] + potential[u] - potential[to[e]]) < dist.get(to[e], 1 << 60):
-                    dist[to[e]], via[to[e]] = nd, e
-                    heapq.heappush(heap, (nd, to[e]))
-        if 1 not in dist:
-            break
-        for v, d in dist.items():
-            potential[v] += d
-        most, v = 1 << 62, 1
-        while v:
-            most, v = min(most, cap[via[v]]), to[via[v] ^ 1]
-        v = 1
-        while v:
-            cap[via[v]] -= most
-            cap[via[v] ^ 1] += most
-            v = to[via[v] ^ 1]
-    return {p: sum(cap[e ^ 1] for e in range(at, at + 2 * repeats, 2)) for p, at in first.items()}
+            at_s[j] = len(of[j])
+        path.pop()
+        if path:
+            if len(path) % 2:
+                at_p[path[-1]] += 1
+            else:
+                at_s[path[-1]] += 1
+    return None
 
 
 def _select(rows: DataFrame, scratch: Scratch, give: dict[int, tuple[int, int]]) -> DataFrame:
@@ -122,10 +162,16 @@ def _select(rows: DataFrame, scratch: Scratch, give: dict[int, tuple[int, int]])
         parts.append(rest.where("bucket <> at").select("doc_id", "source", "size", "pattern", (F.col("bucket") < F.col("at")).alias("picked")))
         rest = rest.where("bucket = at").drop("bucket", "at")
         cut = {p: (int(m["left"]), 0) for p, m in found.items()}
+    # What is left is about a millionth of a pattern, but for rows that repeat an id and text: those are one row here, with their number.
     left = F.broadcast(spark.createDataFrame([(p, c[0]) for p, c in cut.items()], schema))
-    before = F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    last = rest.withColumn("before", before).join(left, "pattern")
-    parts.append(last.select("doc_id", "source", "size", "pattern", (F.col("before") + F.col("size") / 2 <= F.col("left")).alias("picked")))
+    same = rest.groupBy("pattern", "h", "doc_id", "size", "source").agg(F.count("*").alias("n"))
+    words = F.col("n") * F.col("size")
+    before = F.sum(words).over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - words
+    last = same.withColumn("before", before).join(left, "pattern")
+    # As many as end nearest to what is left; a row without words is picked while any are left.
+    few = F.when(F.col("size") > 0, F.floor((F.col("left") - F.col("before") + F.col("size") / 2) / F.col("size"))).otherwise(F.when(F.col("before") <= F.col("left"), F.col("n")).otherwise(0))
+    last = last.withColumn("few", F.greatest(F.lit(0), F.least(few, F.col("n")))).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    parts.append(last.select("doc_id", "source", "size", "pattern", (F.col("k") <= F.col("few")).alias("picked")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -144,8 +190,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         member = F.when(one.isNull() | (F.size(one) == 0), F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(one)))
     else:
         member = F.array(one.cast("string"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), member.alias("source"))
-    rows = scratch.write(rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))), "sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), member.alias("source"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
+    rows = scratch.write(rows, "sizes")
     got = rows.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(got) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
@@ -155,8 +201,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for i, ms in members.items():
         for s in ms:
             sizes[s] += supply[i]
-    # Words in several sources count once in what is shared out.
-    goal = targets(dict(sizes), weights or cyclic_weights(list(sizes)), repeats) if sizes else {}
+    goal = targets(dict(sizes), weights or cyclic_weights(list(sizes)), repeats, sum(supply.values())) if sizes else {}
     flow = min_cost_flow(supply, members, {s: round(g) for s, g in goal.items()}, repeats)
     give = {p: divmod(flow[p], supply[p]) if supply[p] else (0, 0) for p in supply}
     schema = "source array<string>, pattern int, source_size bigint, target double, passes int"

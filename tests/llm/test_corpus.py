@@ -1,10 +1,12 @@
 """Corpus operators against brute force on small fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +176,55 @@ def test_targets_and_flow():
     assert sum(flow.values()) == 45 and all(10 <= v <= 20 for v in flow.values())
 
 
+def test_flow_is_the_cheapest_of_the_largest():
+    """Against all ways to deal out small supplies."""
+    r = random.Random(12)
+    for _ in range(60):
+        n, k = r.randint(1, 3), r.randint(1, 3)
+        supply = {i: r.randint(0, 3) for i in range(n)}
+        members = {i: r.sample(range(k), r.randint(1, k)) for i in range(n)}
+        quota = {j: r.randint(0, 5) for j in range(k)}
+        price = lambda i, x: sum(min(supply[i], max(0, x - c * supply[i])) * c for c in range(2))
+        best, todo = {}, [(0, tuple(quota.values()), 0, 0)]
+        while todo:
+            i, left, sent, cost = todo.pop()
+            if i == n:
+                best[sent] = min(cost, best.get(sent, 1 << 30))
+                continue
+            for split in itertools.product(*(range(min(left[j], 2 * supply[i]) + 1) if j in members[i] else (0,) for j in range(k))):
+                if sum(split) <= 2 * supply[i]:
+                    todo.append((i + 1, tuple(a - b for a, b in zip(left, split, strict=True)), sent + sum(split), cost + price(i, sum(split))))
+        got = mixing.min_cost_flow(supply, members, quota, 2)
+        assert sum(got.values()) == max(best) and sum(price(i, x) for i, x in got.items()) == best[max(best)]
+    assert mixing.min_cost_flow({}, {}, {}) == {}
+
+
+def test_flow_of_many_patterns():
+    r = random.Random(13)
+    supply = {i: r.randint(1, 10**6) for i in range(20_000)}
+    members = {i: r.sample(range(40), r.randint(1, 4)) for i in supply}
+    goal = mixing.targets({j: sum(supply[i] for i in supply if j in members[i]) for j in range(40)}, {j: 1 + j % 3 for j in range(40)}, 3, sum(supply.values()))
+    began = time.time()
+    got = mixing.min_cost_flow(supply, members, {j: round(g) for j, g in goal.items()})
+    assert abs(sum(got.values()) - sum(supply.values())) <= 40 and time.time() - began < 30
+
+
+def test_mix_of_overlapping_sources(spark):
+    """Shared words count once in what is shared out; hot rows that repeat an id and text are dealt out by number."""
+    rows = [(i, " ".join("w" * (1 + i % 9)), [["x"], ["y"], ["x", "y"], None][i % 4]) for i in range(400)] + [(7, "a b c", ["x"])] * 300 + [(None, f"t{i} u", ["y"]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source array<string>")
+    got = mixing.mix(df, weights={"x": 1, "y": 3, None: 2}).collect()
+    total = sum(len(t.split()) for _, t, _ in rows)
+    sizes = {s: sum(len(t.split()) for _, t, m in rows if s in (m or [None])) for s in ("x", "y", None)}
+    goal = mixing.targets(sizes, {"x": 1, "y": 3, None: 2}, 3, total)
+    assert sum(goal.values()) == pytest.approx(total) and len(got) == len(rows)
+    assert abs(sum(x.taken for x in got) - total) <= 30
+    for x in got:
+        assert x.taken <= 3 * x.size and x.target in [pytest.approx(v) for v in (goal["x"], goal["y"], goal["x"] + goal["y"], goal[None])]
+    lone = sum(x.taken for x in got if x.target == pytest.approx(goal[None]))
+    assert abs(lone - goal[None]) <= 10
+
+
 def test_mix(spark):
     r = random.Random(4)
     rows = [(i, " ".join("w" * r.randint(1, 30)), ["s0", "s0", "s1", "s2", None][i % 5]) for i in range(600)] + [(None, None, "s0"), (5, "", None)]
