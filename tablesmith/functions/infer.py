@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +31,16 @@ def as_number(v: Column) -> Column:
     return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
+def _shape(fmt: str) -> str:
+    """What text of a date format looks like: four digits for the year, one or two for any other part."""
+    parts = re.sub(r"[MdHms]", "[0-9]{1,2}", fmt.replace("'T'", "T").replace(".", r"\."))
+    return "^" + parts.replace("yyyy", "[0-9]{4}") + "$"
+
+
 def as_date(v: Column) -> Column:
-    """The first format of DATE_FORMATS that fits, month before day."""
+    """The first format of DATE_FORMATS that fits, month before day. A format is tried only on text of its shape, for a failed parse is dear."""
     t = F.regexp_replace(v, r"^\s+|\s+$", "")
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS])
+    return F.coalesce(*[F.when(t.rlike(_shape(f)), F.try_to_timestamp(t, F.lit(f))) for f in DATE_FORMATS])
 
 
 def infer_types(df: DataFrame) -> DataFrame:
