@@ -1,38 +1,45 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: min-hash bands for candidates, a lower bound, then an exact check.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and its segment-count embedding for candidates, then an exact check.
 
 At similarity 0.8 the SimHashes of two texts lie up to 17 of 64 bits apart on
-the test tables; no grid over 64 bits selects at such a distance, so the
-candidates come from BANDS bands of ROWS min-hashes. Two texts of similarity s
-share none with probability (1 - s ** ROWS) ** BANDS, 7 in a million at 0.8.
-
-A set's sketch is the parity of its hashes in 64 * SKETCH segments. The distance
-of two sketches never exceeds the number of shingles that the sets do not share,
-so a join drops a pair whose sketches lie too far apart for the similarity, and
-no link is lost. What is left is decided by the shingles of both texts.
+the test tables, where no grid over 64 bits selects. A set of shingles so has a
+wide SimHash (:func:`simhash.votes`, 2,048 bits) and lies in one cell of each
+of its 240 grids (:func:`simhash.wide_cells`). Two sets of similarity 0.8 share
+12 cells or more on average and none with a probability of about one in 100,000.
+
+Candidates share a cell and are joined by range: the Manhattan distance of their
+embeddings must not exceed :func:`simhash.reach`. A set's sketch is the parity
+of its hashes in 64 * SKETCH segments. The distance of two sketches never
+exceeds the number of shingles that the sets do not share, so the join drops a
+pair whose sketches lie too far apart for the similarity too, and no link is
+lost by that. What is left is decided by the shingles of both texts.
 
 A cell first ties its members to pivots, which is linear and leaves one
-component of a group of near copies. Only what is then in different components
-of a cell, and near enough by sketch, is paired, without a cap.
+component of a group of near copies: at first the cells of some grids, so that a
+large group has few edges, then all that still hold several components. Only
+what is then in different components of a cell, and within range, is paired,
+without a cap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Scratch, free_name, one_row_each
 from .graph import components
 
 WIDTH = 5
 SIMILARITY = 0.8
-ROWS, BANDS = 5, 30
-#: Longs of a sketch, and rounds of pivots.
+#: Longs of a sketch, rounds of pivots, the grids of the first round, and the orders by which a round takes its pivots.
 SKETCH = 8
-PIVOT_ROUNDS = 1
+PIVOT_ROUNDS = 2
+FIRST_GRIDS = 16
+PIVOT_ORDERS = 32
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> frozenset[int]:
@@ -50,33 +57,19 @@ def similarity(a: frozenset[int], b: frozenset[int]) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-@lru_cache(maxsize=1)
-def _mixers():
-    import numpy as np
-
-    r = np.random.default_rng(42)
-    draw = lambda: r.integers(0, 1 << 64, (ROWS * BANDS, 1), dtype=np.uint64)
-    return draw(), draw() | np.uint64(1)
-
-
-def signature(shingles: frozenset[int]) -> tuple[int, int, list[int], list[int]]:
-    """The hash of the set, its size, its band keys and its sketch, all signed; the empty set has no band."""
+def signature(shingles: frozenset[int]) -> tuple:
+    """The hash of the set, its size, its cells, its sketch and the kept bits of its wide SimHash, all signed; the empty set has no cell."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     h = np.sort(np.fromiter(shingles, np.uint64, len(shingles)))
-    node = signed(xxh64_intdigest(h.tobytes()))
+    node = xxh64_intdigest(h.tobytes())
+    node = node - (1 << 64) if node >= 1 << 63 else node
     if not len(h):
-        return node, 0, [], [0] * SKETCH
+        return node, 0, [], [0] * SKETCH, [0] * simhash.KEPT
     odd_bits = np.packbits(np.bincount(((h >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1, bitorder="little").view("<i8")
-    flip, odd = _mixers()
-    least = np.full(ROWS * BANDS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(h), 2048):
-        x = (h[at : at + 2048] ^ flip) * odd
-        x ^= x >> np.uint64(32)
-        np.minimum(least, x.min(axis=1), out=least)
-    return node, len(h), [signed(xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)], odd_bits.tolist()
+    votes = simhash.votes(h)
+    return node, len(h), simhash.wide_cells(votes).tolist(), odd_bits.tolist(), simhash.kept_bits(votes).tolist()
 
 
 def row_id(text: Column) -> Column:
@@ -85,18 +78,21 @@ def row_id(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, rid, node, size, sketch, keys) of every row of (doc_id, rid, text); equal sets of shingles have one node."""
+    """(doc_id, rid, node, size, keys, sketch, bits) of every row of (doc_id, rid, text); equal sets of shingles have one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        kinds = {"node": pa.int64(), "size": pa.int32(), "keys": ints, "sketch": longs, "bits": longs}
         for b in batches:
-            # One set at a time: the sets of a batch would be many times its texts.
-            got = [signature(shingle_set(t.as_py(), width)) for t in b.column(2)]
-            node, size, keys, sketch = zip(*got, strict=True) if got else ((), (), (), ())
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(sketch, longs), pa.array(keys, longs)], names=["doc_id", "rid", "node", "size", "sketch", "keys"])
+            # Slices bound the lists held; one set at a time, as the sets of a batch would be many times its texts.
+            for at in range(0, b.num_rows, 512):
+                c = b.slice(at, 512)
+                got = zip(*[signature(shingle_set(t.as_py(), width)) for t in c.column(2)], strict=True)
+                own = [pa.array(x, kind) for x, kind in zip(got, kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), *own], names=["doc_id", "rid", *kinds])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid bigint, node bigint, size int, sketch array<bigint>, keys array<bigint>")
+    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid bigint, node bigint, size int, keys array<int>, sketch array<bigint>, bits array<bigint>")
 
 
 def may_be_similar(size_a: Column, sketch_a: Column, size_b: Column, sketch_b: Column, least: float) -> Column:
@@ -119,45 +115,62 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def in_range(a: str, b: str, least: float) -> Column:
+    """Whether the nodes of two structs (size, sketch, embedded) lie near enough in the embedding and by sketch."""
+    near = simhash.distance(F.col(f"{a}.embedded"), F.col(f"{b}.embedded")) <= simhash.reach(least)
+    return near & may_be_similar(F.col(f"{a}.size"), F.col(f"{a}.sketch"), F.col(f"{b}.size"), F.col(f"{b}.sketch"), least)
+
+
 def links(own: DataFrame, docs: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
     """(a, b) edges that generate the components of all candidates as similar as ``least``."""
-    cells = own.select("node", "size", "sketch", F.explode("keys").alias("key"))
-    shared = cells.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    met = cells.join(scratch.write(shared, "shared"), "key").groupBy("key", "node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"))
-    met = scratch.write(met, "met")
-    members = own.join(met.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "rid")
+    cells, cell = own.select("node", F.explode("keys").alias("key")), Window.partitionBy("key")
+    cells = cells.withColumns({"lo": F.min("node").over(cell), "hi": F.max("node").over(cell)})
+    met = scratch.write(cells.where("lo <> hi").select("key", "node").distinct(), "met")
     # One row stands for a node: the sets are equal, whatever its text is.
-    one = members.groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("of")).select("node", F.col("of.doc_id").alias("_id"), F.col("of.rid").alias("_rid"))
-    texts = docs.join(one, docs["doc_id"].eqNullSafe(one["_id"]) & (docs["rid"] == one["_rid"])).select("node", "text")
-    texts = scratch.write(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-    edges = tried = None
+    of = F.struct("size", "sketch", simhash.embedded(F.col("bits")).alias("embedded"))
+    nodes = own.groupBy("node").agg(F.min(of).alias("of"), F.min(F.struct("doc_id", "rid")).alias("row"))
+    nodes = scratch.write(nodes, "nodes")
+    texts, edges, tried = [], None, None
     for k in range(PIVOT_ROUNDS + 1):
         if edges is None:
             at = met.withColumn("root", F.col("node"))
         else:
             root = components(edges, Scratch(scratch.spark, f"roots{k}"))
-            at = scratch.write(met.join(root, "node", "left").select("key", "node", "size", "sketch", F.coalesce("root", "node").alias("root")), f"at{k}")
-        # An order for each cell, so that a node meets many pivots.
-        order = F.xxhash64("node", "key", F.lit(k))
-        pivot = F.min_by(F.struct("node", "root", "size", "sketch"), order).alias("p")
-        open_cells = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivot).where("lo <> hi")
-        open_cells = scratch.write(open_cells.select("key", "p"), f"open{k}")
-        if open_cells.limit(1).count() == 0:
-            break
+            at = scratch.write(met.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), f"at{k}")
+        grid = F.shiftrightunsigned("key", 24)
+        if k == 0:
+            at = at.where(grid < FIRST_GRIDS)
+        # An order for each group of grids, so that a node meets many pivots.
+        order = F.xxhash64("node", F.pmod(grid, F.lit(PIVOT_ORDERS)), F.lit(k))
+        if k == PIVOT_ROUNDS:
+            at = at.join(nodes.select("node", "of"), "node")
+        pivot = F.min_by(F.struct("node", "root"), order).over(cell)
+        of_cell = {"lo": F.min("root").over(cell), "hi": F.max("root").over(cell), "n": F.count("*").over(cell), "p": pivot}
+        at = at.withColumns(of_cell).where("lo <> hi")
         if k < PIVOT_ROUNDS:
-            near = may_be_similar(F.col("size"), F.col("sketch"), F.col("p.size"), F.col("p.sketch"), least)
-            pairs = at.join(open_cells, "key").where((F.col("root") != F.col("p.root")) & near)
-            pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+            pairs = at.where(F.col("root") != F.col("p.root"))
+            pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+            l, r = nodes.select(F.col("node").alias("a"), F.col("of").alias("l")), nodes.select(F.col("node").alias("rb"), F.col("of").alias("r"))
+            pairs = pairs.join(l, "a").join(r, (F.col("b") == F.col("rb")) & in_range("l", "r", least)).select("a", "b")
         else:
-            left = scratch.write(at.join(open_cells.select("key"), "key", "left_semi"), "left")
-            l, r = left.alias("l"), left.alias("r")
-            near = may_be_similar(F.col("l.size"), F.col("l.sketch"), F.col("r.size"), F.col("r.sketch"), least)
-            on = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & near
-            pairs = l.join(r, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        pairs = pairs.distinct()
+            # A random pivot is mostly of a crowded cell's largest component; what is of other ones is paired with all. Two nodes alone in a cell are done.
+            left = at.where("n > 2").select("key", "node", "root", (F.col("root") == F.col("p.root")).alias("most"), "of.*")
+            left = scratch.write(left, "left")
+            l, r = left.where("not most").alias("l"), left.alias("r")
+            on = (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & (F.col("r.most") | (F.col("l.node") < F.col("r.node")))
+            pairs = l.join(r, on & in_range("l", "r", least)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
         pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
         tried = pairs if tried is None else tried.union(pairs)
-        good = scratch.write(verified(pairs, texts, width, least), f"edges{k}")
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        for have in texts:
+            need = need.join(have, "node", "left_anti")
+        need = scratch.write(need.join(nodes, "node").select("node", F.col("row.doc_id").alias("_id"), F.col("row.rid").alias("_rid")), f"need{k}")
+        if need.limit(1).count():
+            found = docs.join(need, docs["doc_id"].eqNullSafe(need["_id"]) & (docs["rid"] == need["_rid"])).select("node", "text")
+            texts.append(scratch.write(found.groupBy("node").agg(F.min("text").alias("text")), f"texts{k}"))
+        if not texts:
+            continue
+        good = scratch.write(verified(pairs, reduce(DataFrame.union, texts), width, least), f"edges{k}")
         edges = good if edges is None else edges.union(good)
     return edges if edges is not None else met.select(F.col("node").alias("a"), F.col("node").alias("b"))
 

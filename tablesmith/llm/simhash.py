@@ -11,12 +11,18 @@ lies in ten cells.
 A crowded cell is not paired: its members emit the 65 fingerprints within one
 bit instead. Two members link exactly if they share one of these, and each
 shared one ties its (at most 65) owners to the least of them, which is linear.
+
+For wider distances (:mod:`shingles`) a set has a wide fingerprint and the bits
+keep their votes. No grid selects there by whole bands, so each grid deals the
+bits into segments anew and a cell names the surest segment of each band.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import acos, ceil, pi, sqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +38,12 @@ _BANDS = ((0, 6), (6, 12), (12, 18), (18, 25), (25, 32))
 _LOW = 0x5555555555555555
 
 
+#: Longs of a wide fingerprint, the grids over it, the bands of a grid and the segments of a band.
+WIDE, GRIDS, GRID_BANDS, SEGMENTS = 32, 240, 4, 32
+#: Longs of a wide fingerprint that are kept for the distance of two embeddings.
+KEPT = 8
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -72,6 +84,88 @@ def embedding(fp: Column) -> Column:
     return low.bitwiseOR(F.shiftleft(high, 1))
 
 
+@lru_cache(maxsize=1)
+def _mixers():
+    import numpy as np
+
+    r = np.random.default_rng(42)
+    draw = lambda: r.integers(0, 1 << 64, (1, WIDE), dtype=np.uint64)
+    return draw(), draw() | np.uint64(1), draw() | np.uint64(1)
+
+
+@lru_cache(maxsize=1)
+def _deals():
+    """The two bits of every segment of every band: each grid deals the bits of the wide fingerprint anew."""
+    import numpy as np
+
+    r, n = np.random.default_rng(43), GRID_BANDS * SEGMENTS * 2
+    dealt = np.stack([r.permutation(64 * WIDE)[:n] for _ in range(GRIDS)]).reshape(GRIDS * GRID_BANDS, SEGMENTS, 2)
+    return np.ascontiguousarray(dealt[:, :, 0]), np.ascontiguousarray(dealt[:, :, 1])
+
+
+def votes(hashes):
+    """The votes of a set of hashes on each bit of the wide fingerprint, ones less zeros; a bit is 1 if its votes are above zero."""
+    import numpy as np
+
+    flip, odd, odd2 = _mixers()
+    ones = np.zeros(64 * WIDE, np.int32)
+    # 255 at a time, so that a byte holds the sum.
+    for at in range(0, len(hashes), 255):
+        x = (hashes[at : at + 255, None] ^ flip) * odd
+        x ^= x >> np.uint64(32)
+        x *= odd2
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return 2 * ones - len(hashes)
+
+
+def kept_bits(votes):
+    """The first KEPT longs of the wide fingerprint."""
+    import numpy as np
+
+    return np.packbits(votes[: 64 * KEPT] > 0, bitorder="little").view("<i8")
+
+
+def wide_cells(votes):
+    """The cell of each grid, as an int that names the grid too.
+
+    A cell is, for each band of the grid, the segment whose two bits are voted
+    for most one-sidedly, with the side, that is its count of two or of none.
+    Those counts are the last to change between near copies.
+    """
+    import numpy as np
+
+    one, two = _deals()
+    lean = votes[one] + votes[two]
+    most = np.abs(lean).argmax(axis=1)
+    side = lean[np.arange(len(most)), most] > 0
+    band = (2 * most + side).reshape(GRIDS, GRID_BANDS)
+    cell = band @ (2 * SEGMENTS) ** np.arange(GRID_BANDS) + np.arange(GRIDS) * (2 * SEGMENTS) ** GRID_BANDS
+    return cell.astype(np.uint32).view(np.int32)
+
+
+def embedded(bits: Column) -> Column:
+    """The embeddings of an array of longs."""
+    return F.transform(bits, embedding)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """The Manhattan distance of two embedded wide fingerprints, by their kept longs."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(KEPT)), F.lit(0))
+
+
+def reach(least: float) -> int:
+    """The embedded distance of sets of similarity ``least``, six standard deviations above its mean.
+
+    Their votes have a cosine of 2 s / (1 + s) at least, so a bit differs with
+    probability arccos of that / pi, ties of small sets a quarter more; the
+    distance of a segment then has mean 2 p - p ** 2.
+    """
+    p = 1.25 * acos(2 * least / (1 + least)) / pi
+    n, mean = 32 * KEPT, 2 * p - p * p
+    return ceil(n * mean + 6 * sqrt(n * (2 * p - mean * mean)))
+
+
 def _mask(bands: tuple[int, ...]) -> int:
     bits = 0
     for b in bands:

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tablesmith.llm import graph, shingles
+from tablesmith.llm import graph, shingles, simhash
 from tablesmith.llm.common import Scratch
 from tests.llm.test_corpus import frame
 
@@ -109,3 +110,62 @@ def test_near_copies_tell_rows_apart(spark):
     want = [(None, b), (1, c), (2, a + " x"), (3, ""), (5, "one two")]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert shingles.drop_near_copies(frame(spark, [])).count() == 0
+
+
+def sets_at(r, common, *own):
+    """Sets of random hashes that share ``common`` of them."""
+    draw = lambda n: {r.getrandbits(64) for _ in range(n)}
+    both = draw(common)
+    return [both | draw(n) for n in own]
+
+
+def wide(s):
+    v = simhash.votes(np.fromiter(s, np.uint64, len(s)))
+    counts = (v[: 64 * simhash.KEPT] > 0).reshape(-1, 2).sum(axis=1)
+    return set(simhash.wide_cells(v).tolist()), counts
+
+
+def test_wide_simhash_by_plain_integers():
+    """Votes, segments and cells as counted bit by bit; over 255 hashes, so that sums pass a byte."""
+    (s,) = sets_at(random.Random(5), 300, 0)
+    flip, odd, odd2 = ([int(x) for x in m[0]] for m in simhash._mixers())
+    most = (1 << 64) - 1
+    votes = []
+    for w in range(simhash.WIDE):
+        mixed = [((h ^ flip[w]) * odd[w]) & most for h in s]
+        mixed = [((x ^ (x >> 32)) * odd2[w]) & most for x in mixed]
+        mixed = [x ^ (x >> 29) for x in mixed]
+        votes += [sum(1 if x >> i & 1 else -1 for x in mixed) for i in range(64)]
+    got = simhash.votes(np.fromiter(s, np.uint64, len(s)))
+    assert got.tolist() == votes
+    one, two = simhash._deals()
+    for g, cell in list(enumerate(simhash.wide_cells(got)))[:: simhash.GRIDS // 8]:
+        key, n = 0, 2 * simhash.SEGMENTS
+        for b in range(simhash.GRID_BANDS):
+            at = g * simhash.GRID_BANDS + b
+            lean = [votes[i] + votes[j] for i, j in zip(one[at], two[at], strict=True)]
+            best = max(range(len(lean)), key=lambda k: (abs(lean[k]), -k))
+            key += (2 * best + (lean[best] > 0)) * n**b
+        assert int(cell) % (1 << 32) == g * n**simhash.GRID_BANDS + key
+    assert shingles.signature(frozenset(s))[2] == simhash.wide_cells(got).tolist()
+
+
+def test_near_sets_share_cells_within_reach():
+    """Pairs of similarity 0.8 of all sizes meet in a cell and lie within reach in the embedding; unrelated sets do neither."""
+    r = random.Random(6)
+    for common, a, b in ((4, 0, 1), (8, 1, 1), (8, 0, 2), (16, 2, 2), (80, 10, 10), (80, 0, 20), (800, 100, 100)):
+        for _ in range(12):
+            (x, cx), (y, cy) = map(wide, sets_at(r, common, a, b))
+            assert x & y and abs(cx - cy).sum() <= simhash.reach(0.8)
+            (x, cx), (y, cy) = map(wide, sets_at(r, 0, common + a, common + b))
+            assert len(x & y) <= 1 and abs(cx - cy).sum() > simhash.reach(0.8)
+
+
+def test_near_stage_joins_by_range_in_the_embedding(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = near_rows()[:28]
+    stage = lambda: sorted((x.doc_id, x.text) for x in corpus_pipeline.near_stage(spark, frame(spark, rows), "").collect())
+    assert stage() == brute(rows) and len(brute(rows)) < len(rows)
+    monkeypatch.setattr(simhash, "reach", lambda least: -1)
+    assert stage() == sorted(rows)
