@@ -11,7 +11,9 @@ embeddings must not exceed :func:`simhash.reach`. A set's sketch is the parity
 of its hashes in 64 * SKETCH segments. The distance of two sketches never
 exceeds the number of shingles that the sets do not share, so the join drops a
 pair whose sketches lie too far apart for the similarity too, and no link is
-lost by that. What is left is decided by the shingles of both texts.
+lost by that. What is left is decided by the shingles of both texts. Sketches
+folded to half their longs keep that bound and go along with a cell's members,
+so that a pair too far apart by them is dropped in its cell, before any join.
 
 A cell first ties its members to pivots, which is linear and leaves one
 component of a group of near copies: at first the cells of some grids, so that a
@@ -35,8 +37,9 @@ from .graph import components
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Longs of a sketch, rounds of pivots, the grids of the first round, and the orders by which a round takes its pivots.
+#: Longs of a sketch and of a folded one, rounds of pivots, the grids of the first round, and the orders by which a round takes its pivots.
 SKETCH = 8
+FOLDED = SKETCH // 2
 PIVOT_ROUNDS = 2
 FIRST_GRIDS = 16
 PIVOT_ORDERS = 32
@@ -95,9 +98,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid bigint, node bigint, size int, keys array<int>, sketch array<bigint>, bits array<bigint>")
 
 
-def may_be_similar(size_a: Column, sketch_a: Column, size_b: Column, sketch_b: Column, least: float) -> Column:
+def folded(sketch: Column) -> Column:
+    """The parities of half as many segments, each two of the sketch's; the distance never grows by it."""
+    return F.array(*[F.get(sketch, F.lit(i)).bitwiseXOR(F.get(sketch, F.lit(i + FOLDED))) for i in range(FOLDED)])
+
+
+def may_be_similar(size_a: Column, sketch_a: Column, size_b: Column, sketch_b: Column, least: float, longs: int = SKETCH) -> Column:
     """False only for sets of less similarity: a similarity s leaves (1 - s) / (1 + s) of both sizes unshared at most, and the sketches differ in no more bits."""
-    apart = sum((F.bit_count(F.get(sketch_a, F.lit(i)).bitwiseXOR(F.get(sketch_b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    apart = sum((F.bit_count(F.get(sketch_a, F.lit(i)).bitwiseXOR(F.get(sketch_b, F.lit(i)))) for i in range(longs)), F.lit(0))
     return apart <= F.floor((size_a + size_b) * ((1 - least) / (1 + least)) + 1e-6)
 
 
@@ -132,23 +140,24 @@ def links(own: DataFrame, docs: DataFrame, scratch: Scratch, width: int, least:
     nodes = scratch.write(nodes, "nodes")
     texts, edges, tried = [], None, None
     for k in range(PIVOT_ROUNDS + 1):
+        # The rounds of pivots compare folded sketches in the cell, the last one compares all by a join.
+        brief = F.struct("of.size", folded(F.col("of.sketch")).alias("sketch")).alias("of")
+        rooted = nodes.select("node", "of" if k == PIVOT_ROUNDS else brief)
         if edges is None:
-            at = met.withColumn("root", F.col("node"))
+            rooted = rooted.withColumn("root", F.col("node"))
         else:
             root = components(edges, Scratch(scratch.spark, f"roots{k}"))
-            at = scratch.write(met.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), f"at{k}")
+            rooted = rooted.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         grid = F.shiftrightunsigned("key", 24)
-        if k == 0:
-            at = at.where(grid < FIRST_GRIDS)
+        at = (met.where(grid < FIRST_GRIDS) if k == 0 else met).join(rooted, "node")
         # An order for each group of grids, so that a node meets many pivots.
         order = F.xxhash64("node", F.pmod(grid, F.lit(PIVOT_ORDERS)), F.lit(k))
-        if k == PIVOT_ROUNDS:
-            at = at.join(nodes.select("node", "of"), "node")
-        pivot = F.min_by(F.struct("node", "root"), order).over(cell)
+        pivot = F.min_by(F.struct("node", "root") if k == PIVOT_ROUNDS else F.struct("node", "root", "of"), order).over(cell)
         of_cell = {"lo": F.min("root").over(cell), "hi": F.max("root").over(cell), "n": F.count("*").over(cell), "p": pivot}
         at = at.withColumns(of_cell).where("lo <> hi")
         if k < PIVOT_ROUNDS:
-            pairs = at.where(F.col("root") != F.col("p.root"))
+            near = may_be_similar(F.col("of.size"), F.col("of.sketch"), F.col("p.of.size"), F.col("p.of.sketch"), least, FOLDED)
+            pairs = at.where((F.col("root") != F.col("p.root")) & near)
             pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
             l, r = nodes.select(F.col("node").alias("a"), F.col("of").alias("l")), nodes.select(F.col("node").alias("rb"), F.col("of").alias("r"))
             pairs = pairs.join(l, "a").join(r, (F.col("b") == F.col("rb")) & in_range("l", "r", least)).select("a", "b")

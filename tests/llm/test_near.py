@@ -1,6 +1,7 @@
 """Near copies by shingle similarity against brute force."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -161,6 +162,51 @@ def test_near_sets_share_cells_within_reach():
             assert len(x & y) <= 1 and abs(cx - cy).sum() > simhash.reach(0.8)
 
 
+def executions(spark):
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {runs.apply(i).executionId() for i in range(runs.size())}
+
+
+def rows_of_joins(spark, runs):
+    """Rows made by the joins by (a, b) and by a alone in these executions."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    for run in runs:
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if re.match(r"\w*Join \[(a#\d+L, b#\d+L|a#\d+L)\]", node.desc()) and m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    made += int(v.get().replace(",", ""))
+    return made
+
+
+def test_texts_that_share_a_passage_are_dropped_in_their_cells(spark):
+    """Of many texts with one common passage and five pairs of near copies only what the sketches leave is joined."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(70)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(40))])) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " " + word()) for i in range(5)]
+    before = executions(spark)
+    got = shingles.drop_near_copies(frame(spark, rows)).collect()
+    assert sorted((x.doc_id, x.text) for x in got) == brute(rows) and len(got) == 150
+    assert 0 < rows_of_joins(spark, executions(spark) - before) < len(rows)
+
+
+def test_folded_sketches_bound_the_similarity(spark):
+    """A folded sketch has the parities of twice the hashes a segment, and lies no farther from another than the sketches do."""
+    sets = [shingles.shingle_set(t) for _, t in near_rows()[:40]]
+    df = spark.createDataFrame([(i, shingles.signature(s)[3]) for i, s in enumerate(sets)], "i int, sketch array<bigint>")
+    bits = lambda longs: {64 * i + j for i, x in enumerate(longs) for j in range(64) if x >> j & 1}
+    got = {x.i: (bits(x.sketch), bits(x.half)) for x in df.withColumn("half", shingles.folded(F.col("sketch"))).collect()}
+    n = 64 * shingles.FOLDED
+    for i, s in enumerate(sets):
+        odd = [sum(1 for h in s if (h >> 20) % n == k) % 2 for k in range(n)]
+        assert got[i][1] == {k for k in range(n) if odd[k]}
+        for j in range(i):
+            assert len(got[i][1] ^ got[j][1]) <= len(got[i][0] ^ got[j][0]) <= len(s ^ sets[j])
+
+
 def test_near_stage_joins_by_range_in_the_embedding(spark, monkeypatch):
     import corpus_pipeline
 
