@@ -32,19 +32,21 @@ def column_values(table: str, df: DataFrame, columns: list[str], sample: int | N
     that they have in common estimates the likeness of the whole columns.
     """
     pair = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in columns])
-    long = df.select(F.inline(pair)).where("v is not null")
-    keys = long.groupBy("col").agg((F.count_distinct("v") / F.count("*")).alias("u")).where(F.col("u") >= MIN_UNIQUENESS)
-    vals = long.join(keys, "col", "left_semi").select(F.lit(table).alias("tbl"), "col", F.lower(F.trim("v")).alias("v")).distinct()
+    found = df.select(F.inline(pair)).where("v is not null").distinct()
+    filled = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"n{i}").alias("n")) for i, c in enumerate(columns)])))
+    keys = found.groupBy("col").agg(F.count("*").alias("d")).join(F.broadcast(filled), "col").where(F.col("d") / F.col("n") >= MIN_UNIQUENESS)
+    vals = found.join(F.broadcast(keys), "col", "left_semi").select(F.lit(table).alias("tbl"), "col", F.lower(F.trim("v")).alias("v")).distinct()
     if sample is not None:
         vals = vals.withColumn("_k", F.row_number().over(Window.partitionBy("col").orderBy(F.xxhash64("v"), "v"))).where(F.col("_k") <= sample).drop("_k")
     return vals
 
 
 def value_links(values: DataFrame, least: float = VALUE_JACCARD) -> DataFrame:
-    """(src_table, src_col, dst_table, dst_col, overlap) by an inverted index on the values."""
-    sizes = values.groupBy("tbl", "col").agg(F.count("*").alias("n"))
-    a, b = values.alias("a"), values.alias("b")
-    met = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.tbl") < F.col("b.tbl"))).groupBy(F.col("a.tbl").alias("src_table"), F.col("a.col").alias("src_col"), F.col("b.tbl").alias("dst_table"), F.col("b.col").alias("dst_col")).agg(F.count("*").alias("both"))
+    """(src_table, src_col, dst_table, dst_col, overlap) by an inverted index on the values, of which those that stand in the same columns count as one."""
+    held = values.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("tbl", "col"))).alias("held")).groupBy("held").agg(F.count("*").alias("n"))
+    one = held.select("held", "n", F.explode("held").alias("a"))
+    sizes = one.groupBy("a.tbl", "a.col").agg(F.sum("n").alias("n"))
+    met = one.select("n", "a", F.explode("held").alias("b")).where("a.tbl < b.tbl").groupBy(F.col("a.tbl").alias("src_table"), F.col("a.col").alias("src_col"), F.col("b.tbl").alias("dst_table"), F.col("b.col").alias("dst_col")).agg(F.sum("n").alias("both"))
     left = sizes.select(F.col("tbl").alias("src_table"), F.col("col").alias("src_col"), F.col("n").alias("na"))
     right = sizes.select(F.col("tbl").alias("dst_table"), F.col("col").alias("dst_col"), F.col("n").alias("nb"))
     j = met.join(left, ["src_table", "src_col"]).join(right, ["dst_table", "dst_col"])

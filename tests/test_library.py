@@ -3,6 +3,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.functions.columns import coarse_dtype, fingerprint, normalize_name, unique_names
@@ -105,6 +106,19 @@ def test_drift(spark):
     assert got == {("a", "out_of_range"), ("b", "null_ratio"), ("c", "new_column")}
 
 
+def test_links_by_values_move_no_column_to_one_task(spark):
+    a = spark.createDataFrame([(i, f" K{i} ", i % 3, None if i % 2 else "x") for i in range(40)], "k int, name string, few int, gap string")
+    b = spark.createDataFrame([(i, f"k{i}", None) for i in range(10, 50)], "id bigint, label string, nothing string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        values = memory.column_values("a", a, a.columns, None).unionByName(memory.column_values("b", b, b.columns, None))
+        assert "SortMergeJoin" not in values._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.tbl, r.col): r.n for r in values.groupBy("tbl", "col").agg(F.count("*").alias("n")).collect()} == {("a", "k"): 40, ("a", "name"): 40, ("b", "id"): 40, ("b", "label"): 40}
+    assert sorted(map(tuple, memory.value_links(values).collect())) == [("a", "k", "b", "id", 0.6), ("a", "name", "b", "label", 0.6)]
+
+
 def test_chunks_match_a_plain_fold(spark):
     body = "\n\n".join("p%d " % i + "x" * (i * 37 % 900) for i in range(40))
     got = [r.chunk for r in text.chunks(spark.createDataFrame([(1, body), (2, None)], "doc_id int, text string")).orderBy("chunk_no").collect()]
