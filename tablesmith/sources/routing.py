@@ -10,6 +10,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import in_pieces
+
 MAX_ENTRIES, MAX_BYTES, MAX_DEPTH = 500, 500 << 20, 3
 
 
@@ -93,11 +95,8 @@ def expand_archives(files: DataFrame) -> DataFrame:
             yield from walk(f"{path}::{name}", content, depth + 1)
 
     def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         for pdf in frames:
-            out = [x for p, c in zip(pdf["path"], pdf["content"], strict=True) for x in walk(p, bytes(c), 0)]
-            yield pd.DataFrame(out, columns=["path", "content"])
+            yield from in_pieces((x for p, c in zip(pdf["path"], pdf["content"], strict=True) for x in walk(p, bytes(c), 0)), ["path", "content"])
 
     return files.select("path", "content").mapInPandas(run, "path string, content binary")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablesmith.operators import mapping, parsers, policy, provenance
 from tablesmith.plans import model
 from tablesmith.plans.guarded import SqlSession
-from tablesmith.sources import ooxml, pages, routing
+from tablesmith.sources import delimited, ooxml, pages, routing
 from tablesmith.sources.fixtures import document, workbook
 
 OVERVIEW = {
@@ -185,3 +185,40 @@ def test_ask(spark):
 def test_as_zip_round_trip():
     with zipfile.ZipFile(io.BytesIO(routing.as_zip({"b": b"2", "a": b"1"}))) as z:
         assert z.namelist() == ["a", "b"] and z.read("b") == b"2"
+
+
+def _largest_frame(table, files):
+    """The most rows in one frame that a step of mapInPandas gives for ``files`` as one batch, and all its rows."""
+    import pandas as pd
+
+    class Held:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return list(run(iter([pd.DataFrame(files, columns=["path", "content"])])))
+
+    frames = table(Held())
+    return max(map(len, frames)), pd.concat(frames)
+
+
+def test_rows_of_many_files_are_never_held_together():
+    csvs = [(f"d/{i:03d}.csv", ("key;name\n" + "".join(f"{i};row {j} of a file\n" for j in range(500))).encode()) for i in range(200)]
+    most, rows = _largest_frame(delimited.parsed, csvs)
+    assert most < 20_000 and len(rows) == 100_000 and rows.groupby("path").row_no.max().eq(499).all()
+    inner = routing.as_zip({"a.csv": b"k;v\n" + b"1;x\n" * 100_000})
+    most, rows = _largest_frame(routing.expand_archives, [(f"d/{i}.zip", inner) for i in range(20)])
+    assert most < 10 and sorted(rows.path) == sorted(f"d/{i}.zip::a.csv" for i in range(20))
+
+
+def test_ragged_rows_and_open_quotes_stay_as_read():
+    _, rows = _largest_frame(delimited.parsed, [("a.csv", b'a,b,c\n1,2,3\n\n ,, \nx,y,z\n4,5\n6,7,8,9\n10,"two\nlines",11\n12,13,"open\n'), ("b.csv", b""), ("c.csv", b"1,2\n3,4\n")])
+    got = [tuple(r) for r in rows[["path", "block", "row_no", "header", "cells", "malformed"]].itertuples(index=False)]
+    assert [r[4] for r in got if r[0] == "c.csv"] == [["1", "2"], ["3", "4"]] and not [r for r in got if r[0] == "b.csv"]
+    assert [r for r in got if r[0] == "a.csv"] == [
+        ("a.csv", 0, 0, ["a", "b", "c"], ["1", "2", "3"], 0),
+        ("a.csv", 1, 0, ["x", "y", "z"], ["4", "5", None], 2),
+        ("a.csv", 1, 1, ["x", "y", "z"], ["6", "7", "8 | 9"], 2),
+        ("a.csv", 1, 2, ["x", "y", "z"], ["10", "two\nlines", "11"], 2),
+        ("a.csv", 1, 3, ["x", "y", "z"], ["12", "13", "open"], 2),
+    ]
