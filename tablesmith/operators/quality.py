@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +24,30 @@ def _numeric(kind: T.DataType) -> bool:
     return isinstance(kind, (T.NumericType, T.BooleanType))
 
 
+def _slotted(c: Column, kind: T.DataType) -> tuple[str, Column]:
+    """The slot in which a column's values are counted with those of others, and the values in its type: whole numbers, floating ones, or each type by itself."""
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "bigint", c.cast("bigint")
+    return ("double", c.cast("double")) if isinstance(kind, (T.FloatType, T.DoubleType)) else (kind.simpleString(), c)
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """(column, dtype, rows, nulls, distinct, lo, hi) of every column from one scan; lo and hi of numbers as double."""
-    aggs, parts = [F.count(F.lit(1)).alias("rows")], []
+    """(column, dtype, rows, nulls, distinct, lo, hi) of every column; lo and hi of numbers as double.
+
+    Distinct values are counted as rows of (column, value), one scan for each
+    slot of types, so that a task's table has no wide key for each of them.
+    """
+    aggs, parts, slots = [F.count(F.lit(1)).alias("rows")], [], {}
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         number = c.cast("double") if _numeric(f.dataType) else F.lit(None).cast("double")
-        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"), F.min(number).alias(f"l{i}"), F.max(number).alias(f"h{i}")]
-        parts.append(F.struct(F.lit(f.name).alias("column"), F.lit(coarse_dtype(f.dataType)).alias("dtype"), F.col("rows"), F.col(f"n{i}").alias("nulls"), F.col(f"d{i}").alias("distinct"), F.col(f"l{i}").alias("lo"), F.col(f"h{i}").alias("hi")))
-    return df.agg(*aggs).select(F.inline(F.array(*parts)))
+        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), F.min(number).alias(f"l{i}"), F.max(number).alias(f"h{i}")]
+        parts.append(F.struct(F.lit(f.name).alias("column"), F.lit(coarse_dtype(f.dataType)).alias("dtype"), F.col("rows"), F.col(f"n{i}").alias("nulls"), F.coalesce(F.try_element_at("d", F.lit(i)), F.lit(0).cast("bigint")).alias("distinct"), F.col(f"l{i}").alias("lo"), F.col(f"h{i}").alias("hi")))
+        slot, value = _slotted(c, f.dataType)
+        slots.setdefault(slot, []).append(F.struct(F.lit(i).alias("i"), value.alias("v")))
+    values = [df.select(F.inline(F.array(*s))).where("v is not null").distinct().groupBy("i").agg(F.count("*").alias("d")) for s in slots.values()]
+    counts = reduce(DataFrame.unionByName, values).agg(F.map_from_entries(F.collect_list(F.struct("i", "d"))).alias("d"))
+    return df.agg(*aggs).crossJoin(F.broadcast(counts)).select(F.inline(F.array(*parts)))
 
 
 def contracts(profiled: DataFrame) -> DataFrame:

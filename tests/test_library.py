@@ -1,3 +1,5 @@
+import datetime
+import decimal
 import json
 import io
 import zipfile
@@ -106,6 +108,25 @@ def test_drift(spark):
     assert got == {("a", "out_of_range"), ("b", "null_ratio"), ("c", "new_column")}
 
 
+def test_profile_counts_distinct_values_of_every_type_by_narrow_rows(spark):
+    schema = "a bigint, `b.c` int, f float, d double, s string, t string, ok boolean, day date, n decimal(9, 2), l array<int>, r struct<x: int>, none string"
+    day, cents = datetime.date(2024, 1, 2), decimal.Decimal
+    rows = [
+        (1, 1, 0.5, 0.0, "x", "1", True, day, cents("1.50"), [1], (1,), None),
+        (2, 1, 0.5, -0.0, "X", "1", False, None, cents("1.5"), [1, 2], (1,), None),
+        (None, 2, None, float("nan"), "", None, None, day, None, None, None, None),
+        (9007199254740993, 1, 0.1, float("nan"), "x", "2", True, day, cents("2"), [1], (None,), None),
+        (9007199254740992, 1, 0.1, 0.1, None, "2", True, day, cents("2"), [], (2,), None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = quality.profile(df)
+    want = df.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in df.columns]).first()
+    assert [(r.column, r.distinct) for r in got.collect()] == list(zip(df.columns, want)) and tuple(want)[-1] == 0
+    assert [(r.rows, r.nulls, r.distinct, r.lo) for r in quality.profile(df.limit(0)).collect()] == [(0, 0, 0, None)] * 12
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "HashAggregate(keys=[i" in plan
+
+
 def test_links_by_values_move_no_column_to_one_task(spark):
     a = spark.createDataFrame([(i, f" K{i} ", i % 3, None if i % 2 else "x") for i in range(40)], "k int, name string, few int, gap string")
     b = spark.createDataFrame([(i, f"k{i}", None) for i in range(10, 50)], "id bigint, label string, nothing string")
