@@ -127,6 +127,14 @@ def test_profile_counts_distinct_values_of_every_type_by_narrow_rows(spark):
     assert "Expand" not in plan and "HashAggregate(keys=[i" in plan
 
 
+def test_contracts_and_drift_take_the_narrow_profile(spark):
+    known = quality.contracts(quality.profile(spark.createDataFrame([(1, "x", 2.0), (3, "x", None)], "a int, s string, d double")))
+    found = quality.drift(quality.profile(spark.createDataFrame([(9, 1.0)], "a int, s double")), known)
+    assert all("Expand" not in df._jdf.queryExecution().executedPlan().toString() for df in (known, found))
+    assert [tuple(r) for r in known.collect()] == [("a", "int", 0.15, 0.0, 4.0), ("s", "str", 0.15, None, None), ("d", "float", 0.65, 1.0, 3.0)]
+    assert {tuple(r) for r in found.collect()} == {("a", "out_of_range"), ("s", "dtype_changed"), ("d", "missing_column")}
+
+
 def test_links_by_values_move_no_column_to_one_task(spark):
     a = spark.createDataFrame([(i, f" K{i} ", i % 3, None if i % 2 else "x") for i in range(40)], "k int, name string, few int, gap string")
     b = spark.createDataFrame([(i, f"k{i}", None) for i in range(10, 50)], "id bigint, label string, nothing string")
